@@ -21,20 +21,18 @@ def lookup(
 ) -> DataFrame:
     """Join ``rows`` to ``table``, which has at most one row per key.
 
-    Rows without a key skip the shuffle. Rows of heavy keys meet a broadcast of just those keys'
-    table rows (their number is bounded, see :func:`heavy_keys`); all others take the join Spark
-    picks. Pass ``heavy`` when the counts are already known.
+    Rows of heavy keys meet a broadcast of just those keys' table rows (their number is bounded,
+    see :func:`heavy_keys`), and rows without a key skip the shuffle then; all others take the
+    join Spark picks. Pass ``heavy`` when the counts are already known.
     """
     added = [c for c in table.columns if c not in on]
     no_key = ~all_of([F.col(k).isNotNull() for k in on])
     keyed = rows.where(~no_key)
     if heavy is None:
-        heavy = heavy_keys(keyed.select(*on), on)
+        heavy = heavy_keys(rows.select(*on), on)
 
     if heavy is None:
         if how == "left":
-            # One pass over ``rows``: a join on a null key finds nothing, and AQE splits the
-            # partition null keys would fill.
             return rows.join(table, on, "left").select(*rows.columns, *added)
         return keyed.join(table, on, how).select(*rows.columns, *added)
 

@@ -18,6 +18,8 @@ from sequela.functions.exprs import all_of, col
 from sequela.session import HOT_SHARE, checkpointed, hot_rows
 
 POS, CHUNK = "_pos", "_chunk"
+COUNT_FIRST = object()
+"""Default of ``heavy`` arguments: count the keys of the frame at hand."""
 
 
 def heavy_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame | None:
@@ -39,14 +41,14 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
 
 
 def split_heavy(
-    df: DataFrame, keys: list[str], limit: int | None = None
+    df: DataFrame, keys: list[str], heavy: DataFrame | None = COUNT_FIRST
 ) -> tuple[DataFrame | None, DataFrame | None, int]:
     """``(ordinary rows, rows of heavy keys, number of heavy rows)``; either frame may be None."""
-    limit = hot_rows(df.sparkSession) if limit is None else limit
     if not keys:
         n = df.count()
-        return (None, df, n) if n > limit else (df, None, 0)
-    heavy = heavy_keys(df, keys, limit)
+        return (None, df, n) if n > hot_rows(df.sparkSession) else (df, None, 0)
+    if heavy is COUNT_FIRST:
+        heavy = heavy_keys(df, keys)
     if heavy is None:
         return df, None, 0
     n = heavy.agg(F.sum("_n")).first()[0]
@@ -151,16 +153,18 @@ def running(
     aggs: dict[str, tuple[str, str | Column]] | None = None,
     totals: dict[str, tuple[str, str | Column]] | None = None,
     inclusive: bool = True,
+    heavy: DataFrame | None = COUNT_FIRST,
 ) -> DataFrame:
     """Add running values per key in the given total order.
 
     ``aggs`` maps a new column to ``(kind, column)``: ``sum``, ``count``, ``min``, ``max`` and
     ``last`` (latest non-null) run from the first row to the current one, or to the one before it
     when ``inclusive`` is off; ``lag`` and ``lead`` look at the row next to the current one.
-    ``totals`` are over all rows of the key. ``order_by`` must leave no ties.
+    ``totals`` are over all rows of the key. ``order_by`` must leave no ties. ``heavy`` passes on
+    the result of :func:`heavy_keys` where it is known from a cheaper frame.
     """
     aggs, totals = aggs or {}, totals or {}
-    cold, hot, n_hot = split_heavy(df, keys)
+    cold, hot, n_hot = split_heavy(df, keys, heavy)
     parts = []
     if cold is not None:
         parts.append(_plain(cold, keys, order_by, aggs, totals, inclusive))
@@ -170,11 +174,16 @@ def running(
 
 
 def neighbours(
-    df: DataFrame, keys: list[str], order_by: list[Column], columns: list[str]
+    df: DataFrame,
+    keys: list[str],
+    order_by: list[Column],
+    columns: list[str],
+    heavy: DataFrame | None = COUNT_FIRST,
 ) -> DataFrame:
     """``prev_<c>`` and ``next_<c>`` of the rows next to each row of a key."""
     row = F.struct(*columns)
-    out = running(df, keys, order_by, {"_prev": ("lag", row), "_next": ("lead", row)})
+    out = running(df, keys, order_by, {"_prev": ("lag", row), "_next": ("lead", row)},
+                  heavy=heavy)
     return out.select(
         *df.columns,
         *[F.col("_prev")[c].alias(f"prev_{c}") for c in columns],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sequela.functions.exprs import MICROS_PER_HOUR, MICROS_PER_MINUTE, case, micros
 from sequela.operators.joins import in_reach, lookup
-from sequela.operators.ordered import running
+from sequela.operators.ordered import heavy_keys, running
 from sequela.operators.timeline import INFERRED
 
 
@@ -42,8 +42,11 @@ def nearest_within(
     probes = events.select(*on, micros(event_time).alias("_at"), F.lit(1).alias("_probe"),
                            none.alias("_c")).distinct()
     line = probes.unionByName(seen)
-    line = running(line, on, [F.col("_at"), F.col("_probe")], {"_before": ("last", "_c")})
-    line = running(line, on, [F.col("_at").desc(), F.col("_probe")], {"_after": ("last", "_c")})
+    heavy = heavy_keys(near.select(*on), on)
+    line = running(line, on, [F.col("_at"), F.col("_probe")], {"_before": ("last", "_c")},
+                   heavy=heavy)
+    line = running(line, on, [F.col("_at").desc(), F.col("_probe")], {"_after": ("last", "_c")},
+                   heavy=heavy)
 
     def ranked(side: str) -> Column:
         gap = F.abs(F.col(side)["_at"] - F.col("_at"))

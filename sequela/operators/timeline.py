@@ -16,7 +16,7 @@ from sequela.functions.exprs import (
     micros,
     whole_hours_between,
 )
-from sequela.operators.ordered import neighbours, running
+from sequela.operators.ordered import COUNT_FIRST, neighbours, running
 
 START, END = "start", "end"
 EXPLICIT, INFERRED = "explicit", "inferred"
@@ -70,9 +70,11 @@ def suppress_near_duplicates(
     time: str = "event_time",
     tiebreak: str = "event_id",
     minutes: int = 30,
+    heavy: DataFrame | None = COUNT_FIRST,
 ) -> DataFrame:
     """Drop an inferred event next to an explicit one of the same type within whole ``minutes``."""
-    rows = neighbours(events, [subject], _order(time, tiebreak), ["event_type", "source", time])
+    rows = neighbours(events, [subject], _order(time, tiebreak), ["event_type", "source", time],
+                      heavy)
     reach = (minutes + 1) * MICROS_PER_MINUTE
 
     def doubled(side: str) -> Column:
@@ -92,9 +94,11 @@ def with_neighbors(
     subject: str = "subject_id",
     time: str = "event_time",
     tiebreak: str = "event_id",
+    heavy: DataFrame | None = COUNT_FIRST,
 ) -> DataFrame:
     """Type, time and source of the previous and next event of the subject."""
-    return neighbours(events, [subject], _order(time, tiebreak), ["event_type", time, "source"])
+    columns = ["event_type", time, "source"]
+    return neighbours(events, [subject], _order(time, tiebreak), columns, heavy)
 
 
 def recorded_start() -> Column:
