@@ -270,10 +270,13 @@ def table_one_continuous(rows: DataFrame, variables: list[str], stratum: str) ->
     return per.unionByName(overall.select(per.columns))
 
 
-def table_one_categorical(rows: DataFrame, variables: list[str], stratum: str) -> DataFrame:
+def table_one_categorical(
+    rows: DataFrame, variables: list[str], stratum: str, correct: bool = True
+) -> DataFrame:
     """Counts and percentages per stratum and overall, and the chi-square test.
 
-    The cells come from one grouped count over all variables at once.
+    The cells come from one grouped count over all variables at once. Two-by-two tables get the
+    continuity correction unless ``correct`` is off.
     """
     rows = rows.where(F.col(stratum).isNotNull()).select(
         F.col(stratum).cast("string").alias("stratum"),
@@ -285,17 +288,33 @@ def table_one_categorical(rows: DataFrame, variables: list[str], stratum: str) -
     cells = rows.groupBy("variable", "stratum", "level").agg(F.count(F.lit(1)).alias("n"))
     by_stratum = cells.groupBy("variable", "stratum").agg(F.sum("n").alias("_row"))
     by_level = cells.groupBy("variable", "level").agg(F.sum("n").alias("_col"))
-    total = cells.groupBy("variable").agg(
-        F.sum("n").alias("_total"), F.countDistinct("stratum").alias("_k"),
-        F.countDistinct("level").alias("_l"),
+    rows_of = by_stratum.groupBy("variable").agg(
+        F.sum("_row").alias("_total"), F.count(F.lit(1)).alias("_k"),
+        F.sum(1 / F.col("_row")).alias("_inv_rows"),
+    )
+    cols_of = by_level.groupBy("variable").agg(
+        F.count(F.lit(1)).alias("_l"), F.sum(1 / F.col("_col")).alias("_inv_cols")
     )
+    total = rows_of.join(cols_of, "variable")
     full = cells.join(by_stratum, ["variable", "stratum"]).join(by_level, ["variable", "level"])
+    full = full.join(total, "variable")
+
     # Empty cells add their expected count, so the sum over filled cells is n * (sum o²/(r c) - 1).
+    # In a two-by-two table all cells are equally far from their expectation.
+    product = F.col("_row") * F.col("_col")
+    off = F.col("_off") - F.least(F.lit(0.5), F.col("_off"))
+    corrected = off * off * F.col("_total") * F.col("_inv_rows") * F.col("_inv_cols")
+    plain = F.col("_total") * (F.col("_q") - 1)
+    two_by_two = (F.col("_k") == 2) & (F.col("_l") == 2) & F.lit(correct)
     tests = (
-        full.join(total, "variable").groupBy("variable", "_total", "_k", "_l")
-        .agg(F.sum(F.col("n") * F.col("n") / (F.col("_row") * F.col("_col"))).alias("_q"))
+        full.groupBy("variable", *[c for c in total.columns if c != "variable"])
+        .agg(
+            F.sum(F.col("n") * F.col("n") / product).alias("_q"),
+            F.max(F.abs(F.col("n") - product / F.col("_total"))).alias("_off"),
+        )
         .select(
-            "variable", (F.col("_total") * (F.col("_q") - 1)).alias("statistic"),
+            "variable",
+            F.when(two_by_two, corrected).otherwise(plain).alias("statistic"),
             ((F.col("_k") - 1) * (F.col("_l") - 1)).alias("df1"),
         )
         .withColumn("p", chi2_p("statistic", F.col("df1").cast("double")))
