@@ -28,26 +28,29 @@ def provider_rates(
 
 def provider_unit_rates(
     ends: DataFrame,
-    units: DataFrame,
-    unit_key: list[str],
+    units: DataFrame | None = None,
+    unit_key: list[str] = (),
     provider: str = "provider_id",
     unit: str = "unit",
     flag: str = "failed",
     source: str = "source",
 ) -> DataFrame:
-    """As :func:`provider_rates`, per provider and unit. ``units`` is unique on ``unit_key``."""
+    """As :func:`provider_rates`, per provider and unit.
+
+    With ``units`` (unique on ``unit_key``), the unit is looked up there; rows are summed per
+    provider and unit key before that join, so no repeated key travels twice.
+    """
     known = ends.where(F.col(provider).isNotNull() & (F.col(source) == EXPLICIT))
-    # Summed per provider and unit key before the join, so no repeated key travels twice.
-    partial = known.groupBy(provider, *unit_key).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(flag).alias("_s")
-    )
-    return (
-        partial.join(units.select(*unit_key, unit), unit_key)
-        .groupBy(provider, unit)
-        .agg(
-            F.sum("_n").alias("provider_unit_n"),
-            (F.sum("_s") / F.sum("_n")).alias("provider_unit_rate"),
+    sums = [F.count(F.lit(1)).alias("_n"), F.sum(flag).alias("_s")]
+    if units is None:
+        partial = known.groupBy(provider, unit).agg(*sums)
+    else:
+        partial = known.groupBy(provider, *unit_key).agg(*sums).join(
+            units.select(*unit_key, unit), list(unit_key)
         )
+    return partial.groupBy(provider, unit).agg(
+        F.sum("_n").alias("provider_unit_n"),
+        (F.sum("_s") / F.sum("_n")).alias("provider_unit_rate"),
     )
 
 
