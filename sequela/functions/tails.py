@@ -7,9 +7,15 @@ variable), never on observations.
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
+
+# The functions travel to the executors by value; nothing has to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def normal_two_sided(z: float) -> float:
@@ -75,21 +81,21 @@ def _rowwise(fn, *columns: pd.Series) -> pd.Series:
     return pd.Series([one(*row) for row in zip(*columns)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return _rowwise(normal_two_sided, z)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _rowwise(t_two_sided, t, df)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def f_p(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return _rowwise(f_upper, f, df1, df2)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return _rowwise(chi2_upper, x, df)

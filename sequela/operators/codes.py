@@ -298,7 +298,8 @@ def prevalence_range(rows: DataFrame, stratum: str, flags: list[str], top: int =
 def parse_code_text(c: str | Column) -> Column:
     """Array from a text cell: ``['A', 'B']``, or a list split by commas or blanks."""
     text = F.trim(F.col(c) if isinstance(c, str) else c)
-    quoted = F.transform(F.regexp_extract_all(text, F.lit(r"""(['"])(.*?)\1"""), F.lit(2)), F.trim)
+    quoted = F.transform(F.regexp_extract_all(text, F.lit(r"""(['"])(.*?)\1"""), F.lit(2)),
+                         lambda x: F.trim(x))
     plain = F.filter(F.split(text, r"[,\s]+"), lambda x: x != "")
     empty = F.array().cast("array<string>")
     return case(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sequela.functions.exprs import all_of, micros
-from sequela.operators.ordered import heavy_keys
+from sequela.operators.ordered import COUNT_FIRST, heavy_keys
 from sequela.session import hot_rows
 
 
@@ -17,18 +17,18 @@ def lookup(
     table: DataFrame,
     on: list[str],
     how: str = "left",
-    heavy: DataFrame | None = None,
+    heavy: DataFrame | None = COUNT_FIRST,
 ) -> DataFrame:
     """Join ``rows`` to ``table``, which has at most one row per key.
 
     Rows of heavy keys meet a broadcast of just those keys' table rows (their number is bounded,
     see :func:`heavy_keys`), and rows without a key skip the shuffle then; all others take the
-    join Spark picks. Pass ``heavy`` when the counts are already known.
+    join Spark picks. Pass ``heavy`` when it is already known.
     """
     added = [c for c in table.columns if c not in on]
     no_key = ~all_of([F.col(k).isNotNull() for k in on])
     keyed = rows.where(~no_key)
-    if heavy is None:
+    if heavy is COUNT_FIRST:
         heavy = heavy_keys(rows.select(*on), on)
 
     if heavy is None:

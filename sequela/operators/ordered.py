@@ -18,19 +18,32 @@ from sequela.functions.exprs import all_of, col
 from sequela.session import HOT_SHARE, checkpointed, hot_rows
 
 POS, CHUNK = "_pos", "_chunk"
+SAMPLED_PER_LIMIT = 2000
+"""Sampled rows expected of a key that just reaches the limit."""
+
 COUNT_FIRST = object()
 """Default of ``heavy`` arguments: count the keys of the frame at hand."""
 
 
-def heavy_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame | None:
-    """Keys above the row limit with their counts, or None.
+def heavy_keys(
+    df: DataFrame, keys: list[str], n: str | None = None, limit: int | None = None
+) -> DataFrame | None:
+    """Keys above the row limit with their (estimated) counts, or None.
 
-    The list comes to the driver and is bounded: every key in it holds at least ``HOT_SHARE`` of
-    the rows, so there are at most ``1 / HOT_SHARE`` of them.
+    Only decides how the work is spread; the results do not depend on it. Keys are therefore
+    counted on a thin sample, dense enough to see any key near the limit, which keeps the count
+    from shuffling every key of a large table. ``n`` names a column of counts if ``df`` already
+    has them. The list comes to the driver and is bounded: every key in it holds at least
+    ``HOT_SHARE`` of the rows, so there are at most ``1 / HOT_SHARE`` of them.
     """
     spark = df.sparkSession
     limit = hot_rows(spark) if limit is None else limit
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    share = 1.0 if n else min(1.0, SAMPLED_PER_LIMIT / limit)
+    sampled = df.select(*keys) if n is None else df.select(*keys, n)
+    if share < 1:
+        sampled = sampled.sample(share, seed=7)
+    size = F.sum(n) if n else F.count(F.lit(1))
+    counts = sampled.groupBy(*keys).agg(F.ceil(size / share).alias("_n"))
     total = counts.agg(F.sum("_n") * F.lit(HOT_SHARE)).scalar()
     rows = counts.where((F.col("_n") > limit) & (F.col("_n") > total)).collect()
     return spark.createDataFrame(rows, counts.schema) if rows else None

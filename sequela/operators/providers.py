@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sequela.functions.exprs import scalars
 from sequela.operators.joins import lookup
+from sequela.operators.ordered import COUNT_FIRST, heavy_keys
 from sequela.operators.timeline import EXPLICIT
 
 
@@ -58,19 +61,59 @@ def overall_rate(ends: DataFrame, flag: str = "failed", source: str = "source")
     return ends.where(F.col(source) == EXPLICIT).agg(F.avg(flag).alias("overall_rate"))
 
 
+@dataclass(frozen=True)
+class RateTables:
+    by_provider: DataFrame
+    by_unit: DataFrame
+    overall: DataFrame
+    heavy_providers: DataFrame | None = COUNT_FIRST
+    heavy_cells: DataFrame | None = COUNT_FIRST
+
+
+def rate_tables(
+    rows: DataFrame,
+    provider: str = "provider_id",
+    unit: str = "unit",
+    flag: str = "failed",
+    source: str = "source",
+    high_volume: int = 30,
+) -> RateTables:
+    """Rates per provider, per provider and unit, and overall, from one grouped pass.
+
+    The cells also tell which keys are heavy, for the joins that bring the rates back.
+    """
+    explicit = F.col(source) == EXPLICIT
+    cells = rows.groupBy(provider, unit).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.count(F.when(explicit, 1)).alias("_n"),
+        F.sum(F.when(explicit, F.col(flag))).alias("_s"),
+    )
+    known = cells.where(F.col(provider).isNotNull() & (F.col("_n") > 0))
+    by_unit = known.select(
+        provider, unit, F.col("_n").alias("provider_unit_n"),
+        (F.col("_s") / F.col("_n")).alias("provider_unit_rate"),
+    )
+    by_provider = known.groupBy(provider).agg(
+        F.sum("_n").alias("provider_n"), (F.sum("_s") / F.sum("_n")).alias("provider_rate")
+    ).withColumn("is_high_volume", F.col("provider_n") >= high_volume)
+    overall = cells.agg((F.sum("_s") / F.sum("_n")).alias("overall_rate"))
+    sizes = cells.select(provider, unit, "_rows").persist()
+    heavy = [heavy_keys(sizes, keys, "_rows") for keys in ([provider], [provider, unit])]
+    sizes.unpersist()
+    return RateTables(by_provider, by_unit, overall, *heavy)
+
+
 def with_fallback_rate(
     rows: DataFrame,
-    by_provider: DataFrame,
-    by_unit: DataFrame,
-    overall: DataFrame,
+    rates: RateTables,
     provider: str = "provider_id",
     unit: str = "unit",
     out: str = "rate",
 ) -> DataFrame:
     """Unit-level rate, else the provider's, else the overall one."""
-    rows = lookup(rows, by_unit, [provider, unit])
-    rows = lookup(rows, by_provider, [provider])
-    value = scalars(overall, overall_rate=F.max("overall_rate"))
+    rows = lookup(rows, rates.by_unit, [provider, unit], heavy=rates.heavy_cells)
+    rows = lookup(rows, rates.by_provider, [provider], heavy=rates.heavy_providers)
+    value = scalars(rates.overall, overall_rate=F.max("overall_rate"))
     return rows.withColumn(
         out, F.coalesce("provider_unit_rate", "provider_rate", value("overall_rate"))
     )

@@ -371,8 +371,7 @@ FROM ends e LEFT JOIN u ON e.provider_id = u.provider_id AND e.unit = u.unit
 LEFT JOIN p ON e.provider_id = p.provider_id""")
 def fallback_rate(spark, folder):
     rows = ends(spark, folder)
-    out = P.with_fallback_rate(rows, P.provider_rates(rows), P.provider_unit_rates(rows),
-                               P.overall_rate(rows))
+    out = P.with_fallback_rate(rows, P.rate_tables(rows))
     return out.select("event_id", r6("rate").alias("rate"))
 
 
@@ -411,7 +410,7 @@ lookback AS (
   SELECT event_id, failed, m.time, value,
          ((epoch_us(event_time) - epoch_us(m.time)) // 60000000) / 60.0 AS hours_before
   FROM ends e JOIN measures m ON e.stay_id = m.stay_id AND kind = 'click'
-   AND value BETWEEN 50 AND 600
+   AND value BETWEEN 0 AND 600
    AND epoch_us(event_time) - epoch_us(m.time) BETWEEN 0 AND 259259999999)"""
 
 
@@ -419,6 +418,7 @@ def lookback(spark, folder):
     return L.lookback_measure(
         ends(spark, folder).select("event_id", "stay_id", "event_time", "failed"),
         A.measures(spark, folder, "click"), ["stay_id"], "event_time", "time", "value",
+        low=0,
     )
 
 

@@ -26,6 +26,7 @@ def build(app: str = "sequela", master: str | None = None, **conf) -> SparkSessi
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)

@@ -11,12 +11,7 @@ from pyspark.sql import functions as F
 
 from sequela.operators.cohort import CohortSpec
 from sequela.operators.joins import lookup
-from sequela.operators.providers import (
-    overall_rate,
-    provider_rates,
-    provider_unit_rates,
-    with_fallback_rate,
-)
+from sequela.operators.providers import rate_tables, with_fallback_rate
 from sequela.operators.timeline import label_events
 from sequela.sources.tables import read_table
 
@@ -209,9 +204,7 @@ def cohort(spark: SparkSession, folder: str) -> DataFrame:
 def rated(spark: SparkSession, folder: str) -> DataFrame:
     """The cohort with provider volumes and the fallback rate."""
     rows = cohort(spark, folder)
-    return with_fallback_rate(
-        rows, provider_rates(rows), provider_unit_rates(rows), overall_rate(rows)
-    )
+    return with_fallback_rate(rows, rate_tables(rows))
 
 
 COHORT = """
