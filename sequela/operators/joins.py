@@ -12,22 +12,30 @@ from sequela.operators.ordered import COUNT_FIRST, heavy_keys
 from sequela.session import hot_rows
 
 
+BROADCAST_ROWS = 200_000
+"""A counted table of at most this many (narrow) rows is broadcast."""
+
+
 def lookup(
     rows: DataFrame,
     table: DataFrame,
     on: list[str],
     how: str = "left",
     heavy: DataFrame | None = COUNT_FIRST,
+    table_rows: int | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``table``, which has at most one row per key.
 
     Rows of heavy keys meet a broadcast of just those keys' table rows (their number is bounded,
     see :func:`heavy_keys`), and rows without a key skip the shuffle then; all others take the
-    join Spark picks. Pass ``heavy`` when it is already known.
+    join Spark picks. Pass ``heavy`` when it is already known. A table counted beforehand
+    (``table_rows``) and found small is broadcast whole, and nothing else is needed.
     """
     added = [c for c in table.columns if c not in on]
     no_key = ~all_of([F.col(k).isNotNull() for k in on])
     keyed = rows.where(~no_key)
+    if table_rows is not None and table_rows <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), on, how).select(*rows.columns, *added)
     if heavy is COUNT_FIRST:
         heavy = heavy_keys(rows.select(*on), on)
 

@@ -42,6 +42,7 @@ class LinearFit:
     rss: float
     tss: float
     sum_log_w: float
+    mean_y: float
 
     @property
     def df(self) -> int:
@@ -80,6 +81,12 @@ def fit_linear(
     """Weighted least squares with intercept. Rows must be complete; weights positive."""
     w = F.col(weight) if weight else F.lit(1.0)
     data = rows.select(*xs, F.col(y).cast("double").alias("_y"), w.cast("double").alias("_w"))
+    data = data.persist()
+    y_, w_ = F.col("_y"), F.col("_w")
+    s = data.agg(
+        F.count(F.lit(1)).alias("n"), F.sum(w_).alias("w"), F.sum(F.log(w_)).alias("log_w"),
+        (F.sum(y_ * w_) / F.sum(w_)).alias("mean"),
+    ).first()
     if xs:
         estimator = LinearRegression(
             featuresCol=FEATURES, labelCol="_y", weightCol="_w", solver="normal",
@@ -90,19 +97,16 @@ def fit_linear(
         errors = list(model.summary.coefficientStandardErrors)
         se = [errors[-1], *errors[:-1]]
     else:
-        coef, se = [data.agg(F.sum(F.col("_y") * F.col("_w")) / F.sum("_w")).first()[0]], None
-    residual = F.col("_y") - predictor(xs, coef)
-    mean = scalars(data, m=F.sum(F.col("_y") * F.col("_w")) / F.sum("_w"))
-    off = F.col("_y") - mean("m")
-    s = data.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("_w") * residual * residual).alias("rss"),
-        F.sum(F.col("_w") * off * off).alias("tss"),
-        F.sum(F.log("_w")).alias("log_w"), F.sum("_w").alias("w"),
+        coef, se = [s["mean"]], None
+    residual = y_ - predictor(xs, coef)
+    off = y_ - F.lit(s["mean"])
+    sq = data.agg(
+        F.sum(w_ * residual * residual).alias("rss"), F.sum(w_ * off * off).alias("tss")
     ).first()
+    data.unpersist()
     if se is None:
-        se = [math.sqrt(s.rss / (s.n - 1) / s.w)]
-    return LinearFit(xs, coef, se, s.n, s.rss, s.tss, s.log_w)
+        se = [math.sqrt(sq.rss / (s.n - 1) / s.w)]
+    return LinearFit(xs, coef, se, s.n, sq.rss, sq.tss, s.log_w, s["mean"])
 
 
 def nested_f(small: LinearFit, large: LinearFit) -> tuple[float, int, int, float]:
@@ -217,23 +221,27 @@ def density_weights(
     """
     t = F.col(treatment).cast("double")
     den = fit_linear(rows, treatment, covariates)
-    num = scalars(rows, m=F.avg(t), s=F.stddev_samp(t))
-    f_num = normal_pdf(t, num("m"), num("s"))
+    sd = math.sqrt(den.tss / (den.n - 1))
+    f_num = normal_pdf(t, F.lit(den.mean_y), F.lit(sd))
     f_den = normal_pdf(t, den.predict(), F.lit(den.sigma))
-    raw = rows.withColumn("_raw", f_num / F.greatest(f_den, F.lit(floor)))
+    ratio = f_num / F.greatest(f_den, F.lit(floor))
+
+    raw = rows.select(ratio.alias("_raw")).persist()
     lo, hi = trim
     probs = [p for p in (lo, hi) if p is not None]
-    weight = F.col("_raw")
+    bounds = {}
     if probs:
-        cuts = quantiles(raw.select("_raw"), [], {"_raw": probs}).first()[0]
-        bounds = dict(zip(probs, cuts))
+        bounds = dict(zip(probs, quantiles(raw, [], {"_raw": probs}).first()[0]))
+
+    def trimmed(w: Column) -> Column:
         if lo is not None:
-            weight = F.greatest(weight, F.lit(bounds[lo]))
-        if hi is not None:
-            weight = F.least(weight, F.lit(bounds[hi]))
-    mean = scalars(raw, m=F.avg(weight))
+            w = F.greatest(w, F.lit(bounds[lo]))
+        return F.least(w, F.lit(bounds[hi])) if hi is not None else w
+
+    mean = raw.agg(F.avg(trimmed(F.col("_raw"))).alias("m")).first().m
+    raw.unpersist()
     return DensityWeights(
-        raw.withColumn(out, weight / mean("m")).drop("_raw"), den.r2, den.coef
+        rows.withColumn(out, trimmed(ratio) / F.lit(mean)), den.r2, den.coef
     )
 
 
@@ -255,14 +263,16 @@ def balance(
     rows: DataFrame, treatment: str, covariates: list[str], weight: str, by: list[str] = ()
 ) -> DataFrame:
     """Correlation of each covariate with the treatment before and after weighting."""
-    t, w = F.col(treatment).cast("double"), F.col(weight).cast("double")
+    used = list(dict.fromkeys([*by, treatment, weight, *covariates]))
+    rows = rows.select(*used).persist()
+    w = F.col(weight).cast("double")
     # Centred first: the sums of squares then stay small next to what is summed.
-    mean = scalars(rows, t=F.avg(t), **{c: F.avg(c) for c in covariates})
-    t = t - mean("t")
+    mean = rows.agg(*[F.avg(c).alias(c) for c in (treatment, *covariates)]).first()
+    t = F.col(treatment).cast("double") - F.lit(mean[treatment])
     wide = rows.groupBy(*by).agg(
         *[F.corr(F.col(c).cast("double"), F.col(treatment).cast("double")).alias(f"u__{c}")
           for c in covariates],
-        *[weighted_corr(F.col(c).cast("double") - mean(c), t, w).alias(f"w__{c}")
+        *[weighted_corr(F.col(c).cast("double") - F.lit(mean[c]), t, w).alias(f"w__{c}")
           for c in covariates],
     )
     cells = [

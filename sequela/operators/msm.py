@@ -53,7 +53,8 @@ def run_group(
         rows = rows.where(~F.coalesce(exclude, F.lit(False)))
     used = [spec.treatment, spec.outcome, *spec.covariates, *spec.flags, *spec.secondary,
             *spec.balance_on, spec.provider, spec.unit]
-    rows = rows.select(*dict.fromkeys(used)).dropna(subset=list(spec.covariates)).persist()
+    complete = [spec.treatment, *spec.covariates]
+    rows = rows.select(*dict.fromkeys(used)).dropna(subset=complete).persist()
     try:
         t = F.col(spec.treatment)
         s = rows.agg(

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sequela.functions.exprs import scalars
-from sequela.operators.joins import lookup
-from sequela.operators.ordered import COUNT_FIRST, heavy_keys
+from sequela.operators.joins import BROADCAST_ROWS, lookup
+from sequela.operators.ordered import heavy_keys
 from sequela.operators.timeline import EXPLICIT
+from sequela.session import checkpointed
 
 
 def provider_rates(
@@ -66,8 +67,9 @@ class RateTables:
     by_provider: DataFrame
     by_unit: DataFrame
     overall: DataFrame
-    heavy_providers: DataFrame | None = COUNT_FIRST
-    heavy_cells: DataFrame | None = COUNT_FIRST
+    n_cells: int
+    heavy_providers: DataFrame | None
+    heavy_cells: DataFrame | None
 
 
 def rate_tables(
@@ -78,15 +80,18 @@ def rate_tables(
     source: str = "source",
     high_volume: int = 30,
 ) -> RateTables:
-    """Rates per provider, per provider and unit, and overall, from one grouped pass.
+    """Rates per provider, per provider and unit, and overall, from one pass over the rows.
 
-    The cells also tell which keys are heavy, for the joins that bring the rates back.
+    The cells (one row per provider and unit) are written once, as all three tables come from
+    them. They also tell which keys are heavy, for the joins that bring the rates back.
     """
     explicit = F.col(source) == EXPLICIT
-    cells = rows.groupBy(provider, unit).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.count(F.when(explicit, 1)).alias("_n"),
-        F.sum(F.when(explicit, F.col(flag))).alias("_s"),
+    cells = checkpointed(
+        rows.groupBy(provider, unit).agg(
+            F.count(F.lit(1)).alias("_rows"),
+            F.count(F.when(explicit, 1)).alias("_n"),
+            F.sum(F.when(explicit, F.col(flag))).alias("_s"),
+        )
     )
     known = cells.where(F.col(provider).isNotNull() & (F.col("_n") > 0))
     by_unit = known.select(
@@ -97,10 +102,10 @@ def rate_tables(
         F.sum("_n").alias("provider_n"), (F.sum("_s") / F.sum("_n")).alias("provider_rate")
     ).withColumn("is_high_volume", F.col("provider_n") >= high_volume)
     overall = cells.agg((F.sum("_s") / F.sum("_n")).alias("overall_rate"))
-    sizes = cells.select(provider, unit, "_rows").persist()
-    heavy = [heavy_keys(sizes, keys, "_rows") for keys in ([provider], [provider, unit])]
-    sizes.unpersist()
-    return RateTables(by_provider, by_unit, overall, *heavy)
+    n_cells, heavy = cells.count(), [None, None]
+    if n_cells > BROADCAST_ROWS:
+        heavy = [heavy_keys(cells, keys, "_rows") for keys in ([provider], [provider, unit])]
+    return RateTables(by_provider, by_unit, overall, n_cells, *heavy)
 
 
 def with_fallback_rate(
@@ -111,8 +116,9 @@ def with_fallback_rate(
     out: str = "rate",
 ) -> DataFrame:
     """Unit-level rate, else the provider's, else the overall one."""
-    rows = lookup(rows, rates.by_unit, [provider, unit], heavy=rates.heavy_cells)
-    rows = lookup(rows, rates.by_provider, [provider], heavy=rates.heavy_providers)
+    n = rates.n_cells
+    rows = lookup(rows, rates.by_unit, [provider, unit], heavy=rates.heavy_cells, table_rows=n)
+    rows = lookup(rows, rates.by_provider, [provider], heavy=rates.heavy_providers, table_rows=n)
     value = scalars(rates.overall, overall_rate=F.max("overall_rate"))
     return rows.withColumn(
         out, F.coalesce("provider_unit_rate", "provider_rate", value("overall_rate"))

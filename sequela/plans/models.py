@@ -445,16 +445,16 @@ def double_ml_by_group(spark, folder):
 
 # Residuals from group means stand in for those of a model: the estimate given them is exact.
 RESIDUALS = A.BASE + """,
-res AS (SELECT died - avg(died) OVER (PARTITION BY severity) AS y_res,
-               rate - avg(rate) OVER (PARTITION BY severity) AS d_res, died, rate FROM base)"""
+res AS (SELECT round(died - avg(died) OVER (PARTITION BY severity), 9) AS y_res,
+               round(rate - avg(rate) OVER (PARTITION BY severity), 9) AS d_res, died, rate FROM base)"""
 
 
 def mean_residuals(spark, folder):
     rows = base(spark, folder)
     means = rows.groupBy("severity").agg(F.avg("died").alias("_y"), F.avg("rate").alias("_d"))
     return rows.join(F.broadcast(means), "severity").select(
-        "died", "rate", (F.col("died") - F.col("_y")).alias("y_res"),
-        (F.col("rate") - F.col("_d")).alias("d_res"),
+        "died", "rate", F.round(F.col("died") - F.col("_y"), 9).alias("y_res"),
+        F.round(F.col("rate") - F.col("_d"), 9).alias("d_res"),
     )
 
 
