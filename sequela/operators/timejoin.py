@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from sequela.functions.exprs import MICROS_PER_HOUR, MICROS_PER_MINUTE, case, micros
 from sequela.operators.joins import in_reach, lookup
-from sequela.operators.ordered import heavy_keys, running
+from sequela.operators.ordered import COUNT_FIRST, heavy_keys, running
 from sequela.operators.timeline import INFERRED
 
 
+def busy_keys(events: DataFrame, candidates: DataFrame, on: list[str]) -> DataFrame | None:
+    """Heavy keys of events and candidates together."""
+    return heavy_keys(events.select(*on).unionByName(candidates.select(*on)), on)
+
+
 def nearest_within(
     events: DataFrame,
     candidates: DataFrame,
@@ -23,12 +28,14 @@ def nearest_within(
     minutes: int,
     out: str = "nearest",
     exclude: Column | None = None,
+    heavy: DataFrame | None = COUNT_FIRST,
 ) -> DataFrame:
     """For each distinct event time of a key, the ``value`` recorded nearest to it.
 
     Counts candidates up to ``minutes`` whole minutes away on either side; the smallest value wins
     a tie. Events and candidates are put in one order per key and the latest candidate before and
-    after each event is carried along, so the work is a sort, not a product.
+    after each event is carried along, so the work is a sort, not a product. ``heavy`` passes on
+    the heavy keys of events and candidates together.
     """
     reach = (minutes + 1) * MICROS_PER_MINUTE - 1
     if exclude is not None:
@@ -42,7 +49,8 @@ def nearest_within(
     probes = events.select(*on, micros(event_time).alias("_at"), F.lit(1).alias("_probe"),
                            none.alias("_c")).distinct()
     line = probes.unionByName(seen)
-    heavy = heavy_keys(near.select(*on), on)
+    if heavy is COUNT_FIRST:
+        heavy = busy_keys(events, usable, on)
     line = running(line, on, [F.col("_at"), F.col("_probe")], {"_before": ("last", "_c")},
                    heavy=heavy)
     line = running(line, on, [F.col("_at").desc(), F.col("_probe")], {"_after": ("last", "_c")},
@@ -71,6 +79,7 @@ def most_frequent_nearby(
     value: str,
     hours: int = 2,
     out: str = "most_frequent",
+    heavy: DataFrame | None = COUNT_FIRST,
 ) -> DataFrame:
     """Among values recorded within whole ``hours`` of the event, the one most used in the key.
 
@@ -83,9 +92,13 @@ def most_frequent_nearby(
     width = 2 * reach + 1
     usable = candidates.where(F.col(value).isNotNull())
     use = usable.groupBy(*on, value).agg(F.count(F.lit(1)).alias("_n"))
+    if heavy is COUNT_FIRST:
+        heavy = busy_keys(events, usable, on)
+    # Without a heavy key there is no heavy part of one either.
+    finer = None if heavy is None else COUNT_FIRST
     near = in_reach(usable, events, on, candidate_time, event_time, reach)
     marks = near.select(*on, micros(candidate_time).alias("_at"), value).distinct()
-    marks = lookup(marks, use, on + [value], "inner")
+    marks = lookup(marks, use, on + [value], "inner", finer)
     marks = marks.groupBy(*on, "_at").agg(
         F.min(F.struct((-F.col("_n")).alias("n"), F.col(value).alias("v"))).alias("_m")
     )
@@ -99,7 +112,7 @@ def most_frequent_nearby(
         line = probes.unionByName(marks, allowMissingColumns=True).withColumn(
             "_block", F.floor(F.col("_at") / width)
         )
-        done = running(line, on + ["_block"], order, {"_best": ("min", "_m")})
+        done = running(line, on + ["_block"], order, {"_best": ("min", "_m")}, heavy=finer)
         return done.where(F.col(event_time).isNotNull()).select(*on, event_time, "_best")
 
     marks_first = F.col(event_time).isNotNull()

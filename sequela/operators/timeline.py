@@ -157,6 +157,7 @@ def followup_pairs(
     time: str = "event_time",
     lo: int = 1,
     hi: int = 72,
+    heavy: DataFrame | None = COUNT_FIRST,
 ) -> DataFrame:
     """Each distinct end with its first start between ``lo`` and ``hi`` whole hours later.
 
@@ -172,7 +173,7 @@ def followup_pairs(
     both = running(
         probes.unionByName(marks), [subject],
         [F.col("_at").desc(), F.col("_start").desc_nulls_last(), F.col("_end").desc_nulls_last()],
-        {"followup_time": ("last", "_start")},
+        {"followup_time": ("last", "_start")}, heavy=heavy,
     )
     gap = micros("followup_time") - micros("_end")
     return both.where(F.col("_end").isNotNull() & (gap < (hi + 1) * MICROS_PER_HOUR)).select(

@@ -49,14 +49,21 @@ class StudyInputs:
     """stay_id, dose."""
 
 
+@dataclass(frozen=True)
+class EventFacts:
+    sequence: DataFrame
+    ends: DataFrame
+    heavy_subjects: DataFrame | None
+
+
 def event_facts(
     inputs: StudyInputs,
     min_hours: float = 4,
     near_minutes: int = 30,
     failure_hours: int = 72,
     mode_hours: int = 2,
-) -> tuple[DataFrame, DataFrame]:
-    """``(sequence, ends)``: all events in order, and the ends with flag, hours and provider.
+) -> EventFacts:
+    """All events in order, and the ends with flag, hours and provider.
 
     Both are read by many later steps, so each is written once.
     """
@@ -78,38 +85,40 @@ def event_facts(
         "failed": T.failure_flag(hours=failure_hours), "recorded_start": T.recorded_start(),
     })
     rows = T.episode_hours(rows, inputs.segments, ["stay_id"])
+    # The tiers draw on subsets of the same records.
+    busy = J.busy_keys(probes, inputs.charts, ["stay_id"])
     tiers = []
     for label, records, minutes in inputs.tiers:
         near = J.nearest_within(probes, records, ["stay_id"], "event_time", "time", "provider",
-                                minutes, out=label)
+                                minutes, out=label, heavy=busy)
         rows = rows.join(near.select(*key, label), key, "left")
         tiers.append(J.Tier(label, label))
     label = f"most_frequent_{mode_hours}h"
     most = J.most_frequent_nearby(probes, inputs.charts, ["stay_id"], "event_time", "time",
-                                  "provider", mode_hours, out=label)
+                                  "provider", mode_hours, out=label, heavy=busy)
     rows = rows.join(most, key, "left")
     tiers.append(J.Tier(label, label))
     rows = J.resolve_cascade(rows, "provider_id", tiers).drop(*[t.column for t in tiers])
-    return sequence, stage(rows)
+    return EventFacts(sequence, stage(rows), heavy)
 
 
-def _diagnosis_tables(inputs: StudyInputs) -> list[DataFrame]:
-    d = inputs.diagnoses
-    primary = C.first_by_key(
-        d.where(F.col("seq_num") == 1), "hadm_id",
-        primary_diagnosis=C.code_chapter("code", "version"),
-        primary_long_diagnosis=C.titled("code", "title"),
-    )
-    secondary = C.code_arrays(
-        d.where(F.col("seq_num") == 2).withColumn("_t", C.titled("code", "title")), "hadm_id",
-        {"secondary_diagnosis": "_t"},
-    )
-    arrays = C.code_arrays(d.where(F.col("version") == 10), "hadm_id",
-                           {"codes": "category", "code_labels": "label"}, "seq_num", 10)
-    nearest = d.groupBy("hadm_id").agg(
-        F.min_by(C.titled("code", "title"), F.struct("seq_num", "code")).alias("nearest_diagnosis")
+def _diagnosis_table(inputs: StudyInputs) -> DataFrame:
+    """Everything taken from a stay's diagnoses, in one grouped pass."""
+    seq, title = F.col("seq_num"), C.titled("code", "title")
+    listed = (F.col("version") == 10) & (seq <= 10)
+
+    def array(condition, value):
+        values = F.array_sort(F.collect_set(F.when(condition, value)))
+        return F.when(F.size(values) > 0, values)
+
+    return inputs.diagnoses.groupBy("hadm_id").agg(
+        F.max(F.when(seq == 1, C.code_chapter("code", "version"))).alias("primary_diagnosis"),
+        F.max(F.when(seq == 1, title)).alias("primary_long_diagnosis"),
+        array(seq == 2, title).alias("secondary_diagnosis"),
+        array(listed, F.col("category")).alias("codes"),
+        array(listed, F.col("label")).alias("code_labels"),
+        F.min_by(title, F.struct("seq_num", "code")).alias("nearest_diagnosis"),
     )
-    return [primary, secondary, arrays, nearest]
 
 
 def _subject_tables(inputs: StudyInputs, ends: DataFrame) -> list[DataFrame]:
@@ -124,10 +133,9 @@ def _subject_tables(inputs: StudyInputs, ends: DataFrame) -> list[DataFrame]:
     return tables
 
 
-def last_event_table(
-    inputs: StudyInputs, sequence: DataFrame, ends: DataFrame, **limits
-) -> DataFrame:
+def last_event_table(inputs: StudyInputs, facts: EventFacts, **limits) -> DataFrame:
     """One wide row per subject: its last end with everything known about it."""
+    sequence, ends = facts.sequence, facts.ends
     with_unit = lookup(ends, inputs.stays.select("stay_id", "unit"), ["stay_id"])
     rates = P.rate_tables(with_unit)
     last = T.last_per_subject(with_unit)
@@ -136,10 +144,11 @@ def last_event_table(
 
     starts = sequence.where((F.col("event_type") == T.START) & (F.col("source") == T.EXPLICIT))
     explicit = sequence.where((F.col("event_type") == T.END) & (F.col("source") == T.EXPLICIT))
-    counts = T.failure_counts(T.followup_pairs(explicit, starts))
+    pairs = T.followup_pairs(explicit, starts, heavy=facts.heavy_subjects)
+    counts = T.failure_counts(pairs)
     subject_tables = [counts, T.total_hours(ends), *_subject_tables(inputs, ends)]
     wide = star(last, *[(t, ["subject_id"]) for t in subject_tables],
-                *[(t, ["hadm_id"]) for t in _diagnosis_tables(inputs)])
+                (_diagnosis_table(inputs), ["hadm_id"]))
     wide = wide.withColumns({
         "n_failures_lifetime": F.coalesce("n_failures_lifetime", F.lit(0)),
         **({"dose": F.coalesce("dose", F.lit(0.0))} if inputs.doses is not None else {}),
@@ -402,8 +411,8 @@ def last_event_per_subject(spark, folder):
 
 def _last(spark, folder):
     study = inputs(spark, folder)
-    sequence, ends = event_facts(study, min_hours=1, near_minutes=120, mode_hours=24)
-    return last_event_table(study, sequence, ends, **LIMITS)
+    facts = event_facts(study, min_hours=1, near_minutes=120, mode_hours=24)
+    return last_event_table(study, facts, **LIMITS)
 
 
 @query("WITH" + SUBJECTS + """,

@@ -315,15 +315,16 @@ resolved AS (
 def resolved(spark, folder):
     rows, key = ends(spark, folder), ["stay_id", "event_time"]
     probes = explicit_ends(spark, folder)
+    busy = J.busy_keys(probes, A.candidates(spark, folder), ["stay_id"])
     tiers = []
     for label, kind, minutes in TIERS:
         pool = A.candidates(spark, folder, (kind,) if kind else ("click", "view"))
         near = J.nearest_within(probes, pool, ["stay_id"], "event_time", "time", "provider",
-                                minutes, out=label).drop(f"{label}_seconds")
+                                minutes, out=label, heavy=busy).drop(f"{label}_seconds")
         rows = rows.join(near, key, "left")
         tiers.append(J.Tier(label, label))
     most = J.most_frequent_nearby(probes, A.candidates(spark, folder), ["stay_id"], "event_time",
-                                  "time", "provider", 24, out="most_frequent_24h")
+                                  "time", "provider", 24, out="most_frequent_24h", heavy=busy)
     rows = rows.join(most, key, "left")
     tiers.append(J.Tier("most_frequent_24h", "most_frequent_24h"))
     return J.resolve_cascade(rows, "provider_id", tiers).drop(*[t.column for t in tiers])
