@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sequela.functions.exprs import all_of, case, scalars, whole_hours_between
+from sequela.functions.exprs import case, scalars, whole_hours_between
 from sequela.operators.joins import lookup
+from sequela.operators.ordered import COUNT_FIRST
 
 # Chapter by leading characters of a version-10 code, longest prefix first per letter.
 CHAPTERS_10 = [
@@ -68,9 +69,14 @@ def code_chapter(code: str | Column, version: str | Column) -> Column:
     tenth = case(
         [(F.substring(code, 1, len(p)) == p, F.lit(name)) for name, ps in CHAPTERS_10 for p in ps]
     )
-    category = F.when(code.rlike("^[0-9]{3}"), F.substring(code, 1, 3).cast("int"))
+    # Three digits compare as text in the same order as the numbers.
+    category = F.substring(code, 1, 3)
+    by_number = case(
+        [(category.between(f"{lo:03}", f"{hi:03}"), F.lit(name)) for name, lo, hi in CHAPTERS_9],
+        F.lit(CHAPTER_9_DEFAULT),
+    )
     ninth = case(
-        [(category.between(lo, hi), F.lit(name)) for name, lo, hi in CHAPTERS_9]
+        [(code.rlike("^[0-9]{3}"), by_number)]
         + [(code.rlike(p), F.lit(name)) for name, p in CHAPTERS_9_LETTER],
         F.lit(CHAPTER_9_DEFAULT),
     )
@@ -79,7 +85,9 @@ def code_chapter(code: str | Column, version: str | Column) -> Column:
 
 def is_respiratory(code: str, version: str) -> Column:
     """Version 9 categories 460 to 519, version 10 codes under J."""
-    return (code_chapter(code, version) == "Respiratory") & F.col(version).isin(9, 10)
+    c, v = F.col(code), F.col(version)
+    ninth = c.rlike("^[0-9]{3}") & F.substring(c, 1, 3).between("460", "519")
+    return ((v == 9) & ninth) | ((v == 10) & c.startswith("J"))
 
 
 def in_prefix_ranges(code: str, ranges: list[tuple[str, str]] = SURGERY_RANGES) -> Column:
@@ -112,9 +120,11 @@ def classify_by_codes(
     respiratory_count: str = "respiratory_count",
     window: int = 12,
     out: str = "category",
+    heavy: DataFrame | None = COUNT_FIRST,
 ) -> DataFrame:
     """Surgical when surgery lies within ``window`` hours of the episode's start, else by codes."""
-    rows = lookup(lookup(events, surgery, [key]), respiratory, [key])
+    rows = lookup(events, surgery, [key], heavy=heavy)
+    rows = lookup(rows, respiratory, [key], heavy=heavy)
     offset = whole_hours_between(F.col(surgery_time).cast("timestamp"), time) + F.coalesce(
         F.col(hours), F.lit(0.0)
     )

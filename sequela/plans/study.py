@@ -102,33 +102,49 @@ def event_facts(
     return EventFacts(sequence, stage(rows), heavy)
 
 
-def _diagnosis_table(inputs: StudyInputs) -> DataFrame:
+def _only(table: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of the study's own keys; cuts a hospital-wide table before it is grouped."""
+    return table.join(keys, keys.columns, "left_semi")
+
+
+def _diagnosis_table(diagnoses: DataFrame) -> DataFrame:
     """Everything taken from a stay's diagnoses, in one grouped pass."""
-    seq, title = F.col("seq_num"), C.titled("code", "title")
+    seq = F.col("seq_num")
     listed = (F.col("version") == 10) & (seq <= 10)
+    # Computed before the grouping, where whole-stage code generation reaches it.
+    d = diagnoses.withColumn("_title", C.titled("code", "title")).select(
+        "hadm_id", "seq_num", "code", "_title",
+        F.when(seq == 1, C.code_chapter("code", "version")).alias("_chapter"),
+        F.when(seq == 1, F.col("_title")).alias("_first"),
+        F.when(seq == 2, F.col("_title")).alias("_second"),
+        F.when(listed, F.col("category")).alias("_category"),
+        F.when(listed, F.col("label")).alias("_label"),
+    )
 
-    def array(condition, value):
-        values = F.array_sort(F.collect_set(F.when(condition, value)))
+    def array(value):
+        values = F.array_sort(F.collect_set(value))
         return F.when(F.size(values) > 0, values)
 
-    return inputs.diagnoses.groupBy("hadm_id").agg(
-        F.max(F.when(seq == 1, C.code_chapter("code", "version"))).alias("primary_diagnosis"),
-        F.max(F.when(seq == 1, title)).alias("primary_long_diagnosis"),
-        array(seq == 2, title).alias("secondary_diagnosis"),
-        array(listed, F.col("category")).alias("codes"),
-        array(listed, F.col("label")).alias("code_labels"),
-        F.min_by(title, F.struct("seq_num", "code")).alias("nearest_diagnosis"),
+    return d.groupBy("hadm_id").agg(
+        F.max("_chapter").alias("primary_diagnosis"),
+        F.max("_first").alias("primary_long_diagnosis"),
+        array("_second").alias("secondary_diagnosis"),
+        array("_category").alias("codes"), array("_label").alias("code_labels"),
+        F.min_by("_title", F.struct("seq_num", "code")).alias("nearest_diagnosis"),
     )
 
 
 def _subject_tables(inputs: StudyInputs, ends: DataFrame) -> list[DataFrame]:
+    subjects = ends.select("subject_id").distinct()
     tables = [inputs.patients.select("subject_id", "age", "gender", "death_date"),
-              P.subject_max(inputs.admissions, "subject_id", expired="expired")]
-    tables += [P.subject_max(t, "subject_id", **{n: n}) for n, t in inputs.scores.items()]
+              P.subject_max(_only(inputs.admissions, subjects), "subject_id", expired="expired")]
+    tables += [P.subject_max(_only(t, subjects), "subject_id", **{n: n})
+               for n, t in inputs.scores.items()]
     if inputs.doses is not None:
         # The largest dose per stay first; a stay belongs to one subject.
-        per_stay = P.subject_max(inputs.doses, "stay_id", dose="dose")
         stays = ends.select("stay_id", "subject_id").distinct()
+        per_stay = P.subject_max(_only(inputs.doses, stays.select("stay_id").distinct()),
+                                 "stay_id", dose="dose")
         tables.append(P.subject_max(stays.join(per_stay, "stay_id"), "subject_id", dose="dose"))
     return tables
 
@@ -139,7 +155,10 @@ def last_event_table(inputs: StudyInputs, facts: EventFacts, **limits) -> DataFr
     with_unit = lookup(ends, inputs.stays.select("stay_id", "unit"), ["stay_id"])
     rates = P.rate_tables(with_unit)
     last = T.last_per_subject(with_unit)
-    last = C.classify_by_codes(last, inputs.surgery, inputs.respiratory, "hadm_id")
+    stays = ends.select("hadm_id").distinct()
+    # One row per subject is left, so no stay repeats enough to be heavy.
+    last = C.classify_by_codes(last, _only(inputs.surgery, stays),
+                               _only(inputs.respiratory, stays), "hadm_id", heavy=None)
     last = P.with_fallback_rate(last, rates)
 
     starts = sequence.where((F.col("event_type") == T.START) & (F.col("source") == T.EXPLICIT))
@@ -148,7 +167,7 @@ def last_event_table(inputs: StudyInputs, facts: EventFacts, **limits) -> DataFr
     counts = T.failure_counts(pairs)
     subject_tables = [counts, T.total_hours(ends), *_subject_tables(inputs, ends)]
     wide = star(last, *[(t, ["subject_id"]) for t in subject_tables],
-                (_diagnosis_table(inputs), ["hadm_id"]))
+                (_diagnosis_table(_only(inputs.diagnoses, stays)), ["hadm_id"]))
     wide = wide.withColumns({
         "n_failures_lifetime": F.coalesce("n_failures_lifetime", F.lit(0)),
         **({"dose": F.coalesce("dose", F.lit(0.0))} if inputs.doses is not None else {}),
