@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sequela.functions.exprs import all_of, col
 from sequela.session import HOT_SHARE, checkpointed, hot_rows
 
-POS, CHUNK = "_pos", "_chunk"
+POS, CHUNK = "_stretch_place", "_stretch"
 SAMPLED_PER_LIMIT = 2000
 """Sampled rows expected of a key that just reaches the limit."""
 
