@@ -262,14 +262,14 @@ def rows_per_entity(spark, folder):
 
 @query("WITH" + A.COHORT + """
 SELECT unit, count(hours) AS n, round(avg(hours), 6) AS mean, round(stddev_samp(hours), 6) AS sd,
-       round(sum(hours), 3) AS total, min(hours) AS low, max(hours) AS high,
+       round(sum(hours), 4) AS total, min(hours) AS low, max(hours) AS high,
        round(quantile_cont(hours, 0.25), 6) AS q25, round(median(hours), 6) AS median,
        round(quantile_cont(hours, 0.75), 6) AS q75,
        round(quantile_cont(hours, 0.75) - quantile_cont(hours, 0.25), 6) AS iqr
 FROM cohort GROUP BY unit""")
 def group_summary(spark, folder):
     out = D.summary(A.cohort(spark, folder), ["unit"], "hours")
-    out = out.withColumn("total", F.round("total", 3))
+    out = out.withColumn("total", F.round("total", 4))
     return rounded(out, "mean", "sd", "q25", "median", "q75", "iqr")
 
 

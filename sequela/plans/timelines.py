@@ -468,11 +468,12 @@ slopes AS (
 
 @query("WITH" + SLOPES + """
 SELECT event_id, failed, round(slope, 6) AS slope_per_hour_before, level_at_event,
-       round(mean_value, 6) AS mean_value, n_obs
+       round(mean_value, 9) AS mean_value, n_obs
 FROM slopes""")
 def event_slopes(spark, folder):
     rows = L.event_slopes(lookback(spark, folder), ["event_id", "failed"], "value")
-    return rows.withColumns({c: r6(c) for c in ["slope_per_hour_before", "mean_value"]})
+    return rows.withColumns({"slope_per_hour_before": r6("slope_per_hour_before"),
+                             "mean_value": F.round("mean_value", 9)})
 
 
 @query("WITH" + SLOPES + """
@@ -487,14 +488,14 @@ def slopes_by_outcome(spark, folder):
 
 @query("WITH" + LOOKBACK + """
 SELECT CAST(floor(hours_before) AS BIGINT) AS hour_bin, failed, count(*) AS n,
-       round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd,
-       round(avg(value) - 1.96 * stddev_samp(value) / sqrt(count(*)), 6) AS lo,
-       round(avg(value) + 1.96 * stddev_samp(value) / sqrt(count(*)), 6) AS hi
+       round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS sd,
+       round(avg(value) - 1.96 * stddev_samp(value) / sqrt(count(*)), 9) AS lo,
+       round(avg(value) + 1.96 * stddev_samp(value) / sqrt(count(*)), 9) AS hi
 FROM lookback WHERE floor(hours_before) <= 72
 GROUP BY 1, 2 HAVING count(*) >= 5""")
 def hourly_curve(spark, folder):
     rows = L.hourly_curve(lookback(spark, folder), "failed", "value", min_n=5)
-    return rows.withColumns({c: r6(c) for c in ["mean", "sd", "lo", "hi"]})
+    return rows.withColumns({c: F.round(c, 9) for c in ["mean", "sd", "lo", "hi"]})
 
 
 @query()
