@@ -214,7 +214,8 @@ def _cover(docs: list[set], weight: dict, nt: int, nc: int) -> dict[str, float]:
     for i, hit in enumerate(docs):
         for e in hit:
             where.setdefault(e, set()).add(i)
-    least = max(LEAST_DOCS, nt // 300)
+    total = {e: len(ds) for e, ds in where.items()}
+    least = max(LEAST_DOCS, nt // 150)
     chosen: dict[str, float] = {}
     gain = {e: len(ds) - weight[e][1] * nt / max(1, nc) * 20 for e, ds in where.items()}
     while gain and len(chosen) < ENTRIES:
@@ -229,10 +230,16 @@ def _cover(docs: list[set], weight: dict, nt: int, nc: int) -> dict[str, float]:
                 where[other] = where[other] - new
                 gain[other] -= both
         gain.pop(e)
-    # Words that go with the chosen ones: strong on their own, though their documents are explained.
+    # Entries that go with the chosen ones: frequent and never clean, though their documents are explained.
+    # The share keeps out words that a few copies of one document repeat.
     for e, (w, b) in weight.items():
-        if e.endswith(" ") and b == 0 and w > 6 and len(chosen) < ENTRIES:
+        if b == 0 and total[e] >= max(LEAST_DOCS, nt // 50) and len(chosen) < ENTRIES:
             chosen.setdefault(e, round(w, 6))
+    # A beginning that stands for little more than one longer entry goes: it only reaches into other words.
+    longer = sorted(chosen, key=len, reverse=True)
+    for e in longer[::-1]:
+        if any(len(o) > len(e) and o.startswith(e) and total.get(o, 0) >= 0.95 * total.get(e, 0) for o in longer if o in chosen):
+            del chosen[e]
     return chosen
 
 
