@@ -31,7 +31,7 @@ SHARD = 2_048
 
 CENTRES = 1_024
 OVERLAP = 2
-DEGREE, POOL, FAR, ALPHA = 24, 48, 16, 1.2
+DEGREE, POOL, FAR, FAR_DEGREE, ALPHA = 24, 48, 16, 6, 1.2
 BEAM, MEDOIDS, WIDE = 32, 48, 16
 AUDIT = 128
 """Vectors whose links are also counted by brute force."""
@@ -111,7 +111,8 @@ def robust_prune(x: np.ndarray, i: int, pool: np.ndarray, degree: int = DEGREE,
 
 
 def build(x: np.ndarray, seed: int = 3) -> list[np.ndarray]:
-    """Adjacency lists of a shard's graph, with reverse edges."""
+    """Adjacency lists of a shard's graph, with reverse edges. A few places are kept for far vectors,
+    so that a tight group never has edges among its own members only."""
     n = len(x)
     rng = np.random.default_rng(seed)
     out: list[np.ndarray] = []
@@ -121,35 +122,29 @@ def build(x: np.ndarray, seed: int = 3) -> list[np.ndarray]:
         near = np.argpartition(-scores, m - 1, 1)[:, :m]
         for r in range(len(near)):
             far = rng.integers(0, n, FAR)
-            out.append(robust_prune(x, start + r, np.unique(np.concatenate([near[r], far]))))
+            out.append(np.union1d(robust_prune(x, start + r, near[r]), robust_prune(x, start + r, np.unique(far), FAR_DEGREE)))
     into: list[list[int]] = [[] for _ in range(n)]
     for i, to in enumerate(out):
         for j in to:
             into[j].append(i)
     done = []
     for i in range(n):
-        both = np.unique(np.concatenate([out[i], np.array(into[i], np.int64)]))
-        done.append(both if len(both) <= 2 * DEGREE else robust_prune(x, i, both, 2 * DEGREE))
+        back = np.array(into[i], np.int64)
+        done.append(np.union1d(out[i], back if len(back) <= DEGREE else robust_prune(x, i, back)))
     return done
 
 
 def medoids(x: np.ndarray, count: int = MEDOIDS) -> np.ndarray:
-    """Starting points: the vector nearest the mean, then always the one farthest from those taken."""
-    chosen = [int(np.argmax(x @ x.mean(0)))]
-    nearest = x @ x[chosen[0]]
-    while len(chosen) < min(count, len(x)):
-        far = int(np.argmin(nearest))
-        if nearest[far] > 1 - 1e-12:
-            break
-        chosen.append(far)
-        nearest = np.maximum(nearest, x @ x[far])
-    return np.array(chosen)
+    """Starting points: the vectors nearest to the centres of ``count`` local clusters."""
+    centres = centres_of(x, min(count, len(x)), rounds=4)
+    return np.unique((x @ centres.T).argmax(0))
 
 
-def search(x: np.ndarray, table: np.ndarray, q: np.ndarray, starts: np.ndarray, least: float) -> np.ndarray:
+def search(x: np.ndarray, table: np.ndarray, q: np.ndarray, starts: np.ndarray, own: np.ndarray, least: float) -> np.ndarray:
     """Boolean (query, vector): within range, found by greedy search that expands the range.
 
     ``table`` holds adjacency lists padded with the number of vectors. All queries move at once.
+    ``own`` is each query's own place in the shard, a starting point too, or the number of vectors.
     """
     n, m = len(x), len(q)
     seen = np.zeros((m, n + 1), bool)
@@ -159,6 +154,9 @@ def search(x: np.ndarray, table: np.ndarray, q: np.ndarray, starts: np.ndarray,
     done[:, n] = True
     score[:, starts] = q @ x[starts].T
     seen[:, starts] = True
+    inside = np.flatnonzero(own < n)
+    score[inside, own[inside]] = 1.0
+    seen[inside, own[inside]] = True
     active = np.arange(m)
     margin = np.float32(least - 1e-4)
     padded = np.vstack([x, np.zeros((1, x.shape[1]))]).astype(np.float32)
@@ -234,7 +232,9 @@ def _search_shard(least: float):
             q_other = np.array(right.column("clusters").to_pylist(), np.int32)
             entry = medoids(x)
             for i in range(0, len(q), 512):
-                hit = search(x, table, q[i:i + 512], entry, least)
+                own = np.searchsorted(ids, q_ids[i:i + 512])
+                own = np.where((own < len(ids)) & (ids[np.minimum(own, len(ids) - 1)] == q_ids[i:i + 512]), own, len(ids))
+                hit = search(x, table, q[i:i + 512], entry, own, least)
                 a, b = np.nonzero(hit)
                 a += i
                 keep = np.zeros(len(a), bool)
@@ -288,7 +288,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, shard: int = SHARD,
         return blank
     if low != high:
         raise ValueError(f"vectors have {low} to {high} components")
-    picked = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()  # bounded by SAMPLE
+    picked = valid.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()  # bounded by SAMPLE
     sample = normed(_matrix(picked.column("v")))
     k = max(1, min(CENTRES, len(sample) // 16, 2 * OVERLAP * count // shard))
     centres = centres_of(sample, k)
@@ -299,7 +299,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, shard: int = SHARD,
     member = member.withColumn("ways", ways)
     nodes = member.withColumn("part", F.pmod(F.xxhash64("vec_id"), "ways").cast("int"))
     lists = nodes.select("cluster", "part", "vec_id", "v").groupBy("cluster", "part").applyInArrow(_build_shard, "vec_id long, near array<long>")
-    # One list a vector: at most 2 * DEGREE from each of OVERLAP shards.
+    # One list a vector: at most 2 * DEGREE + FAR_DEGREE from each of OVERLAP shards.
     graph = staged(lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
     shards = nodes.join(graph, "vec_id").select("cluster", "part", "vec_id", "v", "clusters", "near")
     # A cluster's vectors search each of its shards, in blocks; a shard goes along with each block.
