@@ -212,7 +212,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
 
     # The first block (at most BLOCK rows) starts every query off.
     head = F.broadcast(blocks.where("block = 0").drop("dim"))
-    started = asked.withColumn("block", F.lit(0).cast("long")).join(head, "block").withColumn("least", F.lit(None).cast("binary"))
+    started = asked.withColumn("block", F.pmod("q_block", F.lit(1).cast("long"))).join(head, "block").withColumn("least", F.lit(None).cast("binary"))
     started = started.repartition(max(1, q_ways), "q_block")
     least = staged(started.mapInArrow(_first_pass(k), "q_block long, least binary, weakest double"), "thresholds")
     begun = started.mapInArrow(_search(k), FOUND)
