@@ -18,7 +18,7 @@ The path of the model file is a parameter, read on every executor.
 from __future__ import annotations
 
 import re
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,11 @@ GIANT = 65_536
 """Code points from which a text is encoded in chunks."""
 
 CHUNK = 16_384
-CACHE = 700_000
-"""Distinct runs a worker remembers, at most."""
+CACHE = 300_000
+"""Distinct runs, and pairs of pieces, that a worker remembers, at most."""
 
 SPACE = "▁"
-RUN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+RUN = re.compile(" *[^ ]+| +")
 
 
 def default_model() -> str:
@@ -68,37 +68,44 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         if any(SPACE in name.lstrip(SPACE) for name in self.ids):
             raise ValueError("a piece of this vocabulary goes over a word's start")
-        self.runs: dict[str, tuple[int, ...]] = {}
+        self.lengths: dict[str, list[int]] = {}  # by the first two characters, shortest first
+        for name in sorted(self.ids, key=len):
+            if len(name) > 1 and len(name) not in self.lengths.setdefault(name[:2], []):
+                self.lengths[name[:2]].append(len(name))
+        self.sizes = np.array([len(b) for b in self.bytes])
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.joined = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.runs: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.alone: dict[str, bool] = {}
 
     # Ordinary texts
 
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
-        cut = [RUN.findall(prepared(t)) for t in texts]
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit integers."""
+        # The library puts one mark in front and reads marks as spaces; so do the runs, which all
+        # begin with a space.
+        cut = [RUN.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         seen = self.runs
         new = list({r for runs in cut for r in runs if r not in seen})
         if len(seen) + len(new) > CACHE:
             seen.clear()
             new = list({r for runs in cut for r in runs})
-        # The library puts one mark in front and reads spaces as marks.
-        asked = [(r[1:] if r[0] == SPACE else r).replace(SPACE, " ") for r in new]
-        for run, ids in zip(new, self.model.encode(asked, num_threads=1) if new else []):
-            seen[run] = ids if asked else []
-        for run, text in zip(new, asked):
-            if not text:
-                seen[run] = self.ids_of(SPACE)
-        out = [list(chain.from_iterable(map(seen.__getitem__, runs))) for runs in cut]
-        if len(seen) > CACHE:
-            seen.clear()
-        return out
+        seen.update(zip(new, (array("i", ids).tobytes() for ids in self.model.encode([r[1:] for r in new], num_threads=1)) if new else ()))
+        if " " in new:
+            seen[" "] = array("i", self.ids_of(SPACE)).tobytes()
+        return [b"".join(map(seen.__getitem__, runs)) for runs in cut]
 
     def ids_of(self, piece: str) -> list[int]:
         found = self.ids.get(piece)
         return [found] if found is not None else [self.of_byte[b] for b in piece.encode()]
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        if not len(ids) or not ends[-1]:
+            return b""
+        return self.joined[np.repeat(self.begins[ids] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
 
     # Compatible pairs
 
@@ -133,8 +140,8 @@ class Pieces:
 
     def starting(self, text: str, i: int, end: int) -> list[int]:
         """Ends of the pieces that begin at ``i``; a character outside the vocabulary is its own piece."""
-        return [i + 1] + [j for j in range(i + 2, min(i + self.longest, end) + 1)
-                          if text[i:j] in self.ids and self.stable(text[i:j])]
+        return [i + 1] + [i + n for n in self.lengths.get(text[i:i + 2], ())
+                          if i + n <= end and text[i:i + n] in self.ids and self.stable(text[i:i + n])]
 
     def states(self, text: str, at: int) -> list[tuple[int, int]]:
         """Pieces (start, end) that hold the character before ``at``: the states of a boundary."""
@@ -352,8 +359,8 @@ def _plain_rows(path: str):
                     size += len(texts[end])
                     end += 1
                 ids = pieces.encode_many(texts[first:end])
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = np.frombuffer(b"".join(ids), np.int32)
+                ends = (np.cumsum([0, *map(len, ids)]) // 4).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, end - first), pa.array(np.zeros(end - first, np.int64)),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "chunk", "ids"])
@@ -379,21 +386,15 @@ def encode(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk:
     giants = staged(rows.where(large).select("doc_id", F.monotonically_increasing_id().alias("key"), "text"), "giants")
     if giants.isEmpty():
         return plain
-    cut = giants.select("key", "text").mapInArrow(_cut_rows(chunk, 2 * load(model).longest), CUT)
-    cut = staged(cut.repartition("key", "chunk"), "chunks")
-    matrices = cut.repartition("key", "chunk").mapInArrow(_transfers(model, chunk), "key long, chunk long, bits array<string>")
+    cut = staged(giants.select("key", "text").mapInArrow(_cut_rows(chunk, 2 * load(model).longest), CUT), "chunks")
+    tasks = max(1, min(10_000, cut.count() // 4))  # long work on few bytes: dealt out by number
+    matrices = cut.repartition(tasks, "key", "chunk").mapInArrow(_transfers(model, chunk), "key long, chunk long, bits array<string>")
     states = staged(matrices.groupBy("key").applyInArrow(_chosen, "key long, chunk long, enter long, leave long"), "states")
-    traced = cut.join(states, ["key", "chunk"]).mapInArrow(_traces(model, chunk), "key long, chunk long, ids array<int>")
+    traced = cut.join(states, ["key", "chunk"]).repartition(tasks, "key", "chunk").mapInArrow(_traces(model, chunk), "key long, chunk long, ids array<int>")
     named = traced.join(giants.select("doc_id", "key"), "key")
     return plain.union(named.select("doc_id", "key", "chunk", "ids"))
 
 
-def text_of(data: bytes) -> str:
-    """Decoded bytes to text: marks are spaces, the one in front goes, bad sequences are replaced."""
-    text = data.decode("utf-8", "replace").replace(SPACE, " ")
-    return text[1:] if text.startswith(" ") else text
-
-
 def _decoded(path: str):
     def run(batches):
         pieces = load(path)
@@ -401,12 +402,11 @@ def _decoded(path: str):
             names = batch.schema.names
             at = names.index("ids")
             flat = batch.column(at)
-            data = [pieces.decode(x.values.to_numpy()) if x.is_valid else b"" for x in flat]
+            ids = [x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in flat]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(names.index(n)) for n in ("doc_id", "text_no", "chunk")] +
-                [pa.array([len(x.values) if x.is_valid else 0 for x in flat], pa.int64()),
-                 pa.array([x.values.cast(pa.int32()).to_numpy().astype("<i4").tobytes() if x.is_valid else b"" for x in flat], pa.binary()),
-                 pa.array(data, pa.binary())],
+                [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<i4").tobytes() for x in ids], pa.binary()),
+                 pa.array([pieces.decode(x) for x in ids], pa.binary())],
                 ["doc_id", "text_no", "chunk", "n", "ids", "data"])
     return run
 
