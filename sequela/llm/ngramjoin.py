@@ -12,7 +12,8 @@ similar pair shares one. What shares a signature is verified on the sets.
 Equal sets are one node (named by a 64-bit digest, checked by a second one). Members of a signature
 are not paired with one another: each is first compared with one centre, links become components,
 and then only pairs of members in different components are compared, which loses no link and finds
-the same components as all pairs would.
+the same components as all pairs would. Before sets are fetched, sketches (a byte for each sub-part) rule
+out most pairs: a differing element changes one sub-part at most.
 """
 
 from __future__ import annotations
@@ -29,6 +30,13 @@ from sequela.llm.common import mix, release, semi, shingles, slices, staged, tex
 from sequela.llm.components import components
 
 BAND_RATIO = 1.5
+BLOCK = 4096
+"""Members of a signature that are compared with one another in one go."""
+
+DENSE = 64
+"""Members of a signature from which their sets go along, so that only links that join components
+come out of the group and not all of its close pairs."""
+
 PAIR, TRIPLE = ((0, 1), (0, 2), (1, 2)), 3
 
 
@@ -76,49 +84,61 @@ def digests(hashes: np.ndarray, sizes: np.ndarray, seed: int) -> tuple[np.ndarra
     return out[0], out[1]
 
 
-def signatures(hashes: np.ndarray, sizes: np.ndarray, how: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, signature) of the sets that lie one after the other in ``hashes``."""
-    owners, values = [], []
+def sub_parts(hashes: np.ndarray, sizes: np.ndarray, how: Similarity, up: int):
+    """Hashes of all sub-parts of the sets in their own band (``up`` 0) or the one above (1; only sets
+    that may have a partner there): owner of each part, number of the part, band, and an array with a
+    row of sub-parts for each part. Sets that are similar to equal ones only are left out."""
     lows = how.bands(int(sizes.max(initial=1)))
     band = np.searchsorted(lows, sizes, "right") - 1
     starts = np.cumsum(sizes) - sizes
     above = sizes * how.den >= lows[np.minimum(band + 1, len(lows) - 1)] * how.num
+    who = np.flatnonzero((sizes > 0) & (above if up else True))
+    place = band[who] + up
+    allowed = how.allowed(lows[place + 1] - 1)
+    who, place, allowed = who[allowed > 0], place[allowed > 0], allowed[allowed > 0]
+    if not len(who):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TRIPLE), np.uint64)
+    parts = allowed // 2 + 1
+    length = sizes[who]
+    inside = np.repeat(np.arange(len(who)), length)
+    take = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    items = hashes[np.repeat(starts[who], length) + take]
+    with np.errstate(over="ignore"):
+        spread = mix(items, 21) >> np.uint64(20)
+        cell = (spread % (parts[inside] * TRIPLE).astype(np.uint64)).astype(np.int64)
+        base = np.cumsum(parts * TRIPLE) - parts * TRIPLE
+        sums = np.zeros(int((parts * TRIPLE).sum()), np.uint64)
+        target = base[inside] + cell
+        order = np.argsort(target, kind="stable")
+        target, terms = target[order], mix(items, 22)[order]
+        edge = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
+        sums[target[edge]] = np.add.reduceat(terms, edge)
+    owner = np.repeat(who, parts)
+    part = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return owner, part, np.repeat(place, parts), sums.reshape(-1, TRIPLE)
+
+
+def signatures(hashes: np.ndarray, sizes: np.ndarray, how: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, signature) of the sets that lie one after the other in ``hashes``."""
+    owners, values = [], []
     for up in (0, 1):
-        who = np.flatnonzero((sizes > 0) & (above if up else True))
-        if not len(who):
-            continue
-        place = band[who] + up
-        allowed = how.allowed(lows[place + 1] - 1)
-        who, place, allowed = who[allowed > 0], place[allowed > 0], allowed[allowed > 0]
-        if not len(who):  # such sets are similar only if they are equal
-            continue
-        parts = allowed // 2 + 1
-        length = sizes[who]
-        inside = np.repeat(np.arange(len(who)), length)
-        take = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-        items = hashes[np.repeat(starts[who], length) + take]
+        owner, part, place, sums = sub_parts(hashes, sizes, how, up)
         with np.errstate(over="ignore"):
-            spread = mix(items, 21) >> np.uint64(20)
-            cell = (spread % (parts[inside] * TRIPLE).astype(np.uint64)).astype(np.int64)
-            base = np.cumsum(parts * TRIPLE) - parts * TRIPLE
-            sums = np.zeros(int((parts * TRIPLE).sum()), np.uint64)
-            target = base[inside] + cell
-            order = np.argsort(target, kind="stable")
-            target, terms = target[order], mix(items, 22)[order]
-            edge = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
-            sums[target[edge]] = np.add.reduceat(terms, edge)
-            sums = sums.reshape(-1, TRIPLE)
-            owner = np.repeat(who, parts)
-            part = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-            name = mix((np.repeat(place, parts) << 40).astype(np.uint64) + part.astype(np.uint64), 23)
+            name = mix((place << 40).astype(np.uint64) + part.astype(np.uint64), 23)
             for j, (x, y) in enumerate(PAIR):
                 owners.append(owner)
                 values.append(mix(mix(sums[:, x], 24) + mix(sums[:, y], 25) + name, 26 + j).view(np.int64))
-    if not owners:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(owners), np.concatenate(values)
 
 
+def sketches(hashes: np.ndarray, sizes: np.ndarray, how: Similarity, up: int) -> list[bytes]:
+    """A byte of each sub-part's hash, for each set."""
+    owner, _, _, sums = sub_parts(hashes, sizes, how, up)
+    flat = (mix(sums.ravel(), 31) >> np.uint64(56)).astype(np.uint8).tobytes()
+    ends = np.searchsorted(owner, np.arange(len(sizes)), "right") * TRIPLE
+    return [flat[a:b] for a, b in zip(np.append(0, ends[:-1]), ends)]
+
+
 def _digest_rows(how: Similarity, seed: int):
     def run(batches):
         for batch in batches:
@@ -198,30 +218,141 @@ def _set_rows(how: Similarity, seed: int):
     return run
 
 
-def _verified(how: Similarity):
+def _sketch_rows(how: Similarity, seed: int):
+    def run(batches):
+        for batch in batches:
+            for _, _, hashes, sizes, node, _ in sets_of(batch.column(1), how, seed):
+                band = np.searchsorted(how.bands(int(sizes.max(initial=1))), sizes, "right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node), pa.array(sizes), pa.array(band), *(pa.array(sketches(hashes, sizes, how, up), pa.binary()) for up in (0, 1))],
+                    ["node", "n", "band", "own", "above"])
+    return run
+
+
+SKETCH = "node long, n long, band long, own binary, above binary"
+
+
+def may_be_similar(n: np.ndarray, sketch: np.ndarray, i: int, others: np.ndarray, how: Similarity) -> np.ndarray:
+    """Which of ``others`` (all of the group's one instance) may be similar to ``i``: every element in
+    which two sets differ changes one sub-part at most, so similar sets agree on all but so many."""
+    total = n[i] + n[others]
+    differ = total * (how.den - how.num) // (how.den + how.num)
+    return (sketch[others] != sketch[i]).sum(1) <= differ
+
+
+def _instance(rows: list[int], band, own, above) -> tuple[np.ndarray, np.ndarray]:
+    """Members that have a sketch in the highest band of the group, and their sketches."""
+    top = max(band[r] for r in rows)
+    kept, data = [], []
+    for r in rows:
+        sketch = own[r] if band[r] == top else above[r] if band[r] == top - 1 else b""
+        if sketch:
+            kept.append(r)
+            data.append(sketch)
+    return np.array(kept, np.int64), np.frombuffer(b"".join(data), np.uint8).reshape(len(kept), -1)
+
+
+def _close_pairs(how: Similarity):
+    """From rows of (signature, block, block) groups, sorted: pairs of members in different components
+    whose sketches do not rule them out. Where the sets are there, pairs are verified at once and a
+    pair that earlier links of the group have joined is skipped. Holds one group, of two blocks at
+    most."""
+
+    def pairs(group: list[tuple]):
+        n = np.array([r[3] for r in group])
+        band, own, above = [r[4] for r in group], [r[5] for r in group], [r[6] for r in group]
+        kept, data = _instance(list(range(len(group))), band, own, above)
+        node, root, side = (np.array([group[r][k] for r in kept]) for k in (1, 2, 7))
+        n = n[kept]
+        sets = [np.frombuffer(group[r][8], np.uint64) for r in kept] if group[0][8] is not None else None
+        out_a, out_b = [], []
+        for i in range(len(kept)):
+            if side[i] == 1:  # the second block is met from the first
+                continue
+            others = np.flatnonzero((root != root[i]) & ((side == 1) | ((side == 2) & (np.arange(len(kept)) > i))))
+            if not len(others):
+                continue
+            small, large = np.minimum(n[i], n[others]), np.maximum(n[i], n[others])
+            others = others[how.den * small >= how.num * large]
+            others = others[may_be_similar(n, data, i, others, how)]
+            if sets is not None:
+                joined = []
+                for o in others:
+                    if root[o] != root[i] and similar(sets[i], sets[o], how):
+                        root[root == root[o]] = root[i]
+                        joined.append(o)
+                others = np.array(joined, np.int64)
+            out_a.append(np.full(len(others), node[i]))
+            out_b.append(node[others])
+        if not out_a:
+            return
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([sets is not None] * len(a))], ["a", "b", "sure"])
+
     def run(batches):
+        group, key = [], None
         for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for row in zip(*columns):
+                if row[0] != key:
+                    if len(group) > 1:
+                        yield from pairs(group)
+                    group, key = [], row[0]
+                group.append(row)
+        if len(group) > 1:
+            yield from pairs(group)
+    return run
+
+
+def _close_stars(how: Similarity):
+    def run(batches):
+        for batch in batches:
+            c = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
             good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(how.den * common >= how.num * (len(x) + len(y) - common))
+            for r in range(batch.num_rows):
+                n = np.array([c["na"][r], c["nb"][r]])
+                kept, data = _instance([0, 1], [c["xb"][r], c["yb"][r]], [c["xo"][r], c["yo"][r]], [c["xa"][r], c["ya"][r]])
+                good.append(len(kept) == 2 and how.den * n.min() >= how.num * n.max()
+                            and bool(may_be_similar(n, data, 0, np.array([1]), how)[0]))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    return run
+
+
+def similar(x: np.ndarray, y: np.ndarray, how: Similarity) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return how.den * common >= how.num * (len(x) + len(y) - common)
+
+
+def _verified(how: Similarity):
+    def run(batches):
+        for batch in batches:
+            good = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), how)
+                    for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
     return run
 
 
-def linked(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, how: Similarity) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough."""
-    one = sizes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"))
-    two = sizes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"))
-    pairs = pairs.join(one, "a").join(two, "b").where(
-        f"{how.den} * least(na, nb) >= {how.num} * greatest(na, nb)").select("a", "b")
+def sets_for(docs: DataFrame, nodes: DataFrame, reps: DataFrame, how: Similarity, seed: int) -> DataFrame:
+    """``node, items`` of the given nodes, from one document each."""
+    wanted = staged(reps.join(nodes.distinct(), "node").select(F.col("rep").alias("doc_id")), "reps")
+    sets = staged(semi(docs, wanted, "doc_id").mapInArrow(_set_rows(how, seed), "node long, items binary")
+                  .dropDuplicates(["node"]), "sets")
+    release(wanted)
+    return sets
+
+
+def linked(docs: DataFrame, pairs: DataFrame, reps: DataFrame, how: Similarity, seed: int) -> DataFrame:
+    """Those of the staged pairs (a, b) whose sets are similar enough; sets are made for them only."""
+    sets = sets_for(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), reps, how, seed)
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return rows.mapInArrow(_verified(how), "a long, b long")
+    good = staged(rows.mapInArrow(_verified(how), "a long, b long"), "similar")
+    release(sets)
+    return good
 
 
 def groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
@@ -245,31 +376,46 @@ def groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     signed = docs.mapInArrow(_signature_rows(how, seed), "sig long, node long")
     members = staged(signed.repartition("sig").sortWithinPartitions("sig", "node")
                      .mapInArrow(_shared_runs, "sig long, node long, first long"), "members")
-    wanted = staged(members.select("node").distinct(), "wanted")
-    sizes = staged(nodes.join(wanted, "node").select("node", "n_shingles", "rep"), "sizes")
-    reps = staged(sizes.select(F.col("rep").alias("doc_id")), "reps")
-    sets = staged(semi(docs, reps, "doc_id").mapInArrow(_set_rows(how, seed), "node long, items binary")
-                  .dropDuplicates(["node"]), "sets")
-
-    # Each node against one centre, then members of different components against each other.
-    star = members.where("node <> first").groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a"))
-    links = staged(linked(star.select("a", "b"), sets, sizes, how), "similar")
+    wanted = members.select("node").distinct()
+    reps = staged(nodes.join(wanted, "node").select("node", "rep"), "named")
+    sketched = staged(semi(docs, staged(reps.select(F.col("rep").alias("doc_id")), "reps"), "doc_id")
+                      .mapInArrow(_sketch_rows(how, seed), SKETCH).dropDuplicates(["node"]), "sketches")
+
+    # Each node against the centre it shares most signatures with ...
+    shared = members.where("node <> first").groupBy(F.col("node").alias("b"), F.col("first").alias("a")).agg(F.count("*").alias("c"))
+    star = shared.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
+    x = sketched.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("band").alias("xb"), F.col("own").alias("xo"), F.col("above").alias("xa"))
+    y = sketched.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("band").alias("yb"), F.col("own").alias("yo"), F.col("above").alias("ya"))
+    star = staged(star.join(x, "a").join(y, "b").mapInArrow(_close_stars(how), "a long, b long"), "stars")
+    links = linked(docs, star, reps, how, seed)
     roots = staged(components(links, "a", "b"), "roots")
-    labelled = staged(members.join(roots, "node", "left").select(
-        "sig", "node", F.coalesce("root", "node").alias("root")), "labelled")
-    mixed = labelled.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    open_ = staged(labelled.join(mixed.select("sig"), "sig"), "open")
-    other = open_.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
-    rest = (open_.select("sig", F.col("node").alias("a"), F.col("root").alias("ra")).join(other, "sig")
-            .where("ra < rb").select("a", "b").distinct())
-    more = staged(linked(rest, sets, sizes, how), "similar")
+
+    # ... then members of different components against each other, once for each set of members.
+    labelled = staged(members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root")), "labelled")
+    alike = labelled.groupBy("sig").agg(
+        F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"), F.count("*").alias("size"),
+        F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    mixed = alike.groupBy("x", "y", "size").agg(F.min("sig").alias("sig")).select("sig", "size")
+    ways = F.ceil(F.col("size") / BLOCK).cast("int")
+    open_ = staged(labelled.join(staged(mixed, "mixed"), "sig"), "open").withColumn("ways", ways).withColumn("own_block", F.pmod("node", "ways").cast("int"))
+    met = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    low, high = F.least("own_block", "other"), F.greatest("own_block", "other")
+    side = F.when(low == high, 2).when(F.col("own_block") == low, 0).otherwise(1)
+    rows = met.select(F.xxhash64("sig", low, high).alias("key"), "node", "root", side.alias("side"), "size").join(sketched, "node")
+    sets = sets_for(docs, open_.where(F.col("size") > DENSE).select("node"), reps, how, seed)
+    row = ["key", "node", "root", "n", "band", "own", "above", "side"]
+    rows = (rows.where(F.col("size") <= DENSE).select(*row, F.lit(None).cast("binary").alias("items"))
+            .union(rows.where(F.col("size") > DENSE).join(sets, "node").select(*row, "items")))
+    rows = rows.repartition("key").sortWithinPartitions("key")
+    close = staged(rows.mapInArrow(_close_pairs(how), "a long, b long, sure boolean").distinct(), "close")
+    more = close.where("sure").select("a", "b").union(linked(docs, staged(close.where("NOT sure").select("a", "b"), "close"), reps, how, seed))
     roots = staged(components(links.union(more), "a", "b"), "roots")
 
     by_node = nodes.join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), "rep")
     smallest = by_node.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = by_node.join(smallest, "root").select("node", "component_id")
-    release(members, wanted, sets, labelled, open_, reps, sizes)
+    release(members, labelled, reps, sketched, sets, star)
     return named.join(classes, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
