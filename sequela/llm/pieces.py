@@ -31,7 +31,7 @@ GIANT = 65_536
 """Code points from which a text is encoded in chunks."""
 
 CHUNK = 16_384
-CACHE = 300_000
+CACHE = 150_000
 """Distinct runs, and pairs of pieces, that a worker remembers, at most."""
 
 SPACE = "▁"
@@ -288,18 +288,18 @@ def _cut_rows(chunk: int, margin: int):
     """Texts to chunk rows with as much text around as a piece can be long."""
     def run(batches):
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 text = prepared(text)
                 n = -(-len(text) // chunk)
                 for c in range(n):
                     low, high = max(0, c * chunk - margin), min(len(text), (c + 1) * chunk + margin)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([x]) for x in (key, c, n, low, len(text))] + [pa.array([text[low:high]])],
-                        ["key", "chunk", "chunks", "low", "chars", "text"])
+                        [pa.array([x], pa.int64()) for x in (doc_id, key, c, n, low, len(text))] + [pa.array([text[low:high]])],
+                        ["doc_id", "key", "chunk", "chunks", "low", "chars", "text"])
     return run
 
 
-CUT = "key long, chunk long, chunks long, low long, chars long, text string"
+CUT = "doc_id long, key long, chunk long, chunks long, low long, chars long, text string"
 
 
 def _limits(row, chunk):
@@ -343,7 +343,8 @@ def _traces(path: str, chunk: int):
                 leave = (None, end) if is_last else pieces.states(row["text"], end)[row["leave"]]
                 ids = trace(pieces, row["text"], entry, leave, end)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["key"]]), pa.array([row["chunk"]]), pa.array([ids], pa.list_(pa.int32()))], ["key", "chunk", "ids"])
+                    [pa.array([row[c]], pa.int64()) for c in ("doc_id", "key", "chunk")] + [pa.array([ids], pa.list_(pa.int32()))],
+                    ["doc_id", "text_no", "chunk", "ids"])
     return run
 
 
@@ -355,20 +356,29 @@ def _plain_rows(path: str):
             first = 0
             while first < len(texts):  # a few MB of text at a time
                 end, size = first, 0
-                while end < len(texts) and (end == first or size + len(texts[end]) < 2_000_000):
+                while end < len(texts) and (end == first or size + len(texts[end]) < 1_000_000):
                     size += len(texts[end])
                     end += 1
                 ids = pieces.encode_many(texts[first:end])
                 flat = np.frombuffer(b"".join(ids), np.int32)
                 ends = (np.cumsum([0, *map(len, ids)]) // 4).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(np.zeros(end - first, np.int64)),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "chunk", "ids"])
+                    [batch.column(0).slice(first, end - first), pa.array(np.full(end - first, -1)), pa.array(np.zeros(end - first, np.int64)),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "text_no", "chunk", "ids"])
                 first = end
     return run
 
 
-ENCODED = "doc_id long, chunk long, ids array<int>"
+ENCODED = "doc_id long, text_no long, chunk long, ids array<int>"
+
+
+def _then(*steps):
+    """One function of batches that runs the steps one after the other, in one worker."""
+    def run(batches):
+        for step in steps:
+            batches = step(batches)
+        yield from batches
+    return run
 
 
 def encode(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
@@ -378,21 +388,22 @@ def encode(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk:
     no ids and one row. Rows that repeat stay; a null doc_id is kept. A mark U+2581 in a text reads as
     a space, as in the library.
     """
-    model = model or default_model()
+    return _encoded(docs, model or default_model(), giant, chunk, [], ENCODED)
+
+
+def _encoded(docs: DataFrame, model: str, giant: int, chunk: int, then: list, schema: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     large = F.coalesce(F.char_length("text") > giant, F.lit(False))
-    plain = rows.where(~large).mapInArrow(_plain_rows(model), ENCODED)
-    plain = plain.select("doc_id", F.lit(-1).cast("long").alias("text_no"), "chunk", "ids")
+    plain = rows.where(~large).mapInArrow(_then(_plain_rows(model), *then), schema)
     giants = staged(rows.where(large).select("doc_id", F.monotonically_increasing_id().alias("key"), "text"), "giants")
     if giants.isEmpty():
         return plain
-    cut = staged(giants.select("key", "text").mapInArrow(_cut_rows(chunk, 2 * load(model).longest), CUT), "chunks")
+    cut = staged(giants.mapInArrow(_cut_rows(chunk, 2 * load(model).longest), CUT), "chunks")
     tasks = max(1, min(10_000, cut.count() // 4))  # long work on few bytes: dealt out by number
     matrices = cut.repartition(tasks, "key", "chunk").mapInArrow(_transfers(model, chunk), "key long, chunk long, bits array<string>")
     states = staged(matrices.groupBy("key").applyInArrow(_chosen, "key long, chunk long, enter long, leave long"), "states")
-    traced = cut.join(states, ["key", "chunk"]).repartition(tasks, "key", "chunk").mapInArrow(_traces(model, chunk), "key long, chunk long, ids array<int>")
-    named = traced.join(giants.select("doc_id", "key"), "key")
-    return plain.union(named.select("doc_id", "key", "chunk", "ids"))
+    traced = cut.join(states, ["key", "chunk"]).repartition(tasks, "key", "chunk").select(*cut.columns, "enter", "leave")
+    return plain.union(traced.mapInArrow(_then(_traces(model, chunk), *then), schema))
 
 
 def _decoded(path: str):
@@ -417,8 +428,19 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     ``ids_sha256`` is of the ids as 32-bit little-endian integers. Chunks of a giant text are joined
     as bytes, so a character whose bytes lie in two chunks is whole again.
     """
+    return _whole(encoded.mapInArrow(_decoded(model or default_model()), DECODED))
+
+
+def round_trip(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """As ``decode(encode(docs))``, each text's ids decoded by the worker that made them."""
     model = model or default_model()
-    rows = encoded.mapInArrow(_decoded(model), "doc_id long, text_no long, chunk long, n long, ids binary, data binary")
+    return _whole(_encoded(docs, model, giant, chunk, [_decoded(model)], DECODED))
+
+
+DECODED = "doc_id long, text_no long, chunk long, n long, ids binary, data binary"
+
+
+def _whole(rows: DataFrame) -> DataFrame:
     whole = rows.where("text_no < 0").select("doc_id", "text_no", F.col("n").alias("n_tokens"), "ids", "data")
     joined = (rows.where("text_no >= 0").groupBy("doc_id", "text_no")
               .agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("chunk", "ids", "data"))).alias("c"))

@@ -48,7 +48,7 @@ def op1_topk(spark, folder):
 @query()
 def op2_pieces(spark, folder):
     docs = table(spark, folder, "documents")
-    back = pieces.decode(pieces.encode(docs))
+    back = pieces.round_trip(docs)
     return back.select("doc_id", "n_tokens", "ids_sha256", F.char_length("text").cast("long").alias("decoded_chars"),
                        F.sha2("text", 256).alias("decoded_sha256"))
 
