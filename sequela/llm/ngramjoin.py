@@ -33,7 +33,7 @@ BAND_RATIO = 1.5
 BLOCK = 4096
 """Members of a signature that are compared with one another in one go."""
 
-DENSE = 64
+DENSE = 512
 """Members of a signature from which their sets go along, so that only links that join components
 come out of the group and not all of its close pairs."""
 
