@@ -249,6 +249,8 @@ def _instance(rows: list[int], band, own, above) -> tuple[np.ndarray, np.ndarray
         if sketch:
             kept.append(r)
             data.append(sketch)
+    if not kept:  # sets so small that only equal ones are similar
+        return np.zeros(0, np.int64), np.zeros((0, 0), np.uint8)
     return np.array(kept, np.int64), np.frombuffer(b"".join(data), np.uint8).reshape(len(kept), -1)
 
 
