@@ -53,3 +53,12 @@ def scalars(df: DataFrame, **aggs: Column):
 
 def r6(c: str | Column) -> Column:
     return F.round(col(c), 6)
+
+
+def join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "left") -> DataFrame:
+    """Join two tables of groups on their keys; a null key is a group like any other."""
+    if not by:
+        return left.join(right)
+    named = right.select(*[F.col(c).alias(f"_j_{c}") for c in by], *[c for c in right.columns if c not in by])
+    same = all_of([F.col(c).eqNullSafe(F.col(f"_j_{c}")) for c in by])
+    return left.join(named, same, how).drop(*[f"_j_{c}" for c in by])

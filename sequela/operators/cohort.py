@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sequela.functions.exprs import all_of, case, col, scalars
+from sequela.functions.exprs import all_of, case, col, join_groups, scalars
 from sequela.operators.ordered import quantiles
 from sequela.operators.timeline import EXPLICIT
 
@@ -248,7 +248,7 @@ def cohort_flow(
         )
     subjects, providers = distinct(subject, "subjects"), distinct(provider, "providers")
     if by:
-        wide = counts.join(subjects, list(by), "left").join(providers, list(by), "left")
+        wide = join_groups(join_groups(counts, subjects, list(by)), providers, list(by))
     else:
         key = F.lit(0).alias("_k")
         wide = counts.select("*", key).join(subjects.select("*", key), "_k", "left").join(

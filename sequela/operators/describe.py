@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sequela.functions.exprs import case, scalars
+from sequela.functions.exprs import case, join_groups, scalars
 from sequela.functions.tails import chi2_p, f_p
 from sequela.operators.ordered import ntile, quantiles
 
@@ -28,7 +28,7 @@ def summary(rows: DataFrame, by: list[str], column: str) -> DataFrame:
     q = quantiles(rows, by, {column: [0.25, 0.5, 0.75]})
     q = q.select(*by, *[F.col(f"q_{column}")[i].alias(n)
                         for i, n in enumerate(["q25", "median", "q75"])])
-    return base.join(q, by).withColumn("iqr", F.col("q75") - F.col("q25"))
+    return join_groups(base, q, by).withColumn("iqr", F.col("q75") - F.col("q25"))
 
 
 def rows_per_entity(rows: DataFrame, entity: str) -> DataFrame:
@@ -80,7 +80,7 @@ def box_stats(rows: DataFrame, by: list[str], column: str, log10: bool = False)
     inside = F.col("_x").between(F.col("_lo"), F.col("_hi"))
     names = ["q25", "median", "q75"]
     return (
-        values.join(q, by)
+        join_groups(values, q, by)
         .groupBy(*by, *names)
         .agg(
             F.sum("_n").alias("n"),
@@ -134,7 +134,7 @@ def characterise(
         *[share(c).alias(f"_p_{n}") for n, c in shares.items()],
     )
     if medians:
-        base = base.join(quantiles(rows, by, {c: [0.25, 0.5, 0.75] for c in medians}), by)
+        base = join_groups(base, quantiles(rows, by, {c: [0.25, 0.5, 0.75] for c in medians}), by)
     pct = lambda c: F.format_string("%.1f", F.round(F.col(c) * 100, 1))
     return base.select(
         *by, "n", "n_providers",
@@ -169,7 +169,7 @@ def provider_profile(
         *[F.avg(c).alias(f"mean_{c}") for c in means],
     )
     q = quantiles(per, [stratum], {"volume": [0.25, 0.5, 0.75]})
-    return base.join(q, [stratum]).withColumn(
+    return join_groups(base, q, [stratum]).withColumn(
         "volume_med_iqr", median_iqr_text(F.col("q_volume"))
     ).drop("q_volume")
 
@@ -185,7 +185,8 @@ def unit_profile(
         *[F.avg(c).alias(f"{c}_rate") for c in rates],
     )
     q = quantiles(rows, [unit], {c: [0.25, 0.5, 0.75] for c in medians})
-    return base.join(
+    return join_groups(
+        base,
         q.select(unit, *[F.col(f"q_{c}")[i].alias(f"{c}_{n}") for c in medians
                          for i, n in enumerate(["q25", "median", "q75"])]),
         [unit],
@@ -237,11 +238,14 @@ def table_one_continuous(rows: DataFrame, variables: list[str], stratum: str) ->
     """
     m = _long_moments(rows.where(F.col(stratum).isNotNull()), variables, stratum)
     n, mean, var = F.col("n"), F.col("mean"), F.col("var")
+    # Deviations from the grand mean are squared, so a large offset costs no digits.
+    whole = Window.partitionBy("variable")
+    m = m.withColumn("grand", F.sum(n * mean).over(whole) / F.sum(n).over(whole))
     total = m.groupBy("variable").agg(
         F.sum(n).alias("n"),
         (F.sum(n * mean) / F.sum(n)).alias("mean"),
         F.sum((n - 1) * var).alias("within"),
-        (F.sum(n * mean * mean) - F.sum(n * mean) * F.sum(n * mean) / F.sum(n)).alias("between"),
+        F.sum(n * (mean - F.col("grand")) ** 2).alias("between"),
         F.count(F.lit(1)).alias("k"),
         F.collect_list(F.struct("mean", "var")).alias("cells"),
     )

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sequela.functions.exprs import all_of, col
+from sequela.functions.exprs import all_of, col, join_groups
 from sequela.session import HOT_SHARE, checkpointed, hot_rows
 
 POS, CHUNK = "_stretch_place", "_stretch"
@@ -255,12 +255,14 @@ def quantiles(
         {"_upto": ("sum", "_n")}, {"_total": ("sum", "_n")},
     )
 
-    return cum.groupBy(*keys).agg(
+    picked = cum.groupBy(*keys).agg(
         *[
             F.array(*[_picked(p, c) for p in ps]).alias(f"{prefix}_{c}")
             for c, ps in columns.items()
         ]
     )
+    # Groups without any value keep their row, with arrays of nulls as arrays.
+    return join_groups(df.select(*keys).distinct(), picked, keys) if keys else picked
 
 
 def _picked(p: float, variable: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sequela.functions.exprs import MICROS_PER_MINUTE, micros
+from sequela.functions.exprs import MICROS_PER_MINUTE, join_groups, micros
 from sequela.operators.describe import mean_interval
 from sequela.operators.joins import band_join
 from sequela.operators.ordered import quantiles
@@ -97,8 +97,8 @@ def slopes_by_outcome(slopes: DataFrame, outcome: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
     )
     q = quantiles(slopes, [outcome], {"slope_per_hour_before": [0.5]})
-    return base.join(
-        q.select(outcome, F.col("q_slope_per_hour_before")[0].alias("median_slope")), [outcome]
+    return join_groups(
+        base, q.select(outcome, F.col("q_slope_per_hour_before")[0].alias("median_slope")), [outcome]
     )
 
 

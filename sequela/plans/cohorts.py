@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sequela.functions.exprs import r6
+from sequela.functions.exprs import join_groups, r6
 from sequela.operators import cohort as K
 from sequela.operators import describe as D
 from sequela.operators import providers as P
@@ -435,7 +435,8 @@ def providers_by_unit(spark, folder):
     out = rows.groupBy("primary_unit").agg(
         F.count(F.lit(1)).alias("n_providers"), F.max("provider_rate").alias("rate_max"),
         F.max("provider_n").alias("volume_max"), F.avg("mortality_rate").alias("mortality_mean"),
-    ).join(q, "primary_unit")
+    )
+    out = join_groups(out, q, ["primary_unit"])
     return out.select(
         "primary_unit", "n_providers", "volume_max",
         r6(F.col("q_provider_rate")[1]).alias("rate_median"),
