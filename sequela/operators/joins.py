@@ -85,11 +85,11 @@ def band_join(
 
     Time is cut into slots as wide as the band. A left row goes to the (at most two) slots its
     band touches and a right row to its own, so the join is an equi-join on key and slot and never
-    compares rows far apart. A slot above the size limit is salted: its right rows are spread over
-    salts and the left rows repeated for each.
+    compares rows far apart. A slot above the size limit on either side is salted: its rows of that
+    side are spread over salts and those of the other side repeated for each.
     """
     width = hi - lo + 1
-    slot, salt = "_slot", "_salt"
+    slot = "_slot"
 
     first = F.floor((micros(left_time) + lo) / width)
     last = F.floor((micros(left_time) + hi) / width)
@@ -97,23 +97,34 @@ def band_join(
     right = right.withColumn(slot, F.floor(micros(right_time) / width))
 
     keys = on + [slot]
-    heavy = heavy_keys(right.select(*keys), keys)
-    if heavy is not None:
-        limit = hot_rows(left.sparkSession)
-        salts = F.broadcast(
-            heavy.select(*keys, F.ceil(F.col("_n") / math.ceil(limit / 2)).cast("int").alias("_salts"))
-        )
-        right = right.join(salts, keys, "left").withColumn(
-            salt, F.pmod(F.xxhash64(*[c for c in right.columns]), F.coalesce("_salts", F.lit(1)))
-        ).drop("_salts")
-        left = left.join(salts, keys, "left").withColumn(
-            salt, F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
-        ).drop("_salts")
-        left = left.withColumn(salt, F.col(salt).cast("long"))
-        keys = keys + [salt]
+    heavy_right = heavy_keys(right.select(*keys), keys)
+    heavy_left = heavy_keys(left.select(*keys), keys)
+    salts = []
+    if heavy_right is not None:
+        right, left = _salted(right, left, heavy_right, keys, "_right_salt")
+        salts.append("_right_salt")
+    if heavy_left is not None:
+        left, right = _salted(left, right, heavy_left, keys, "_left_salt")
+        salts.append("_left_salt")
 
     gap = micros(right_time) - micros(left_time)
-    return left.join(right, keys).where(gap.between(lo, hi)).drop(slot, salt)
+    return left.join(right, keys + salts).where(gap.between(lo, hi)).drop(slot, *salts)
+
+
+def _salted(
+    rows: DataFrame, other: DataFrame, heavy: DataFrame, keys: list[str], salt: str
+) -> tuple[DataFrame, DataFrame]:
+    """``rows`` of heavy keys spread over salts and ``other`` repeated for each salt of its key."""
+    limit = hot_rows(rows.sparkSession)
+    salts = F.broadcast(
+        heavy.select(*keys, F.ceil(F.col("_n") / math.ceil(limit / 2)).cast("int").alias("_salts"))
+    )
+    n = F.coalesce("_salts", F.lit(1))
+    spread = rows.join(salts, keys, "left").withColumn(salt, F.pmod(F.xxhash64(*rows.columns), n))
+    repeated = other.join(salts, keys, "left").withColumn(
+        salt, F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+    )
+    return spread.drop("_salts"), repeated.drop("_salts")
 
 
 def in_reach(

@@ -193,9 +193,9 @@ def nearest_code(spark, folder):
 
 
 @query("WITH" + A.DIAGNOSES + """
-SELECT DISTINCT hadm_id, category AS code FROM coded WHERE seq_num <= 5 AND category IS NOT NULL""")
+SELECT DISTINCT hadm_id, category AS code FROM coded WHERE category IS NOT NULL""")
 def explode_codes(spark, folder):
-    arrays = C.code_arrays(coded(spark, folder), "hadm_id", {"codes": "category"}, "seq_num", 5)
+    arrays = C.code_arrays(coded(spark, folder), "hadm_id", {"codes": "category"})
     return C.explode_codes(arrays, "codes")
 
 
@@ -222,7 +222,9 @@ def code_selection(spark, folder):
     return table.where(F.col("code").isin(codes)).withColumn("prevalence", r6("prevalence"))
 
 
-BRANDS = [f"Brand#{i}" for i in range(1, 6)]
+BRANDS = [f"Brand#{i}" for i in range(1, 26)]
+"""All categories of the test tables, which SQL has to list; the queries select theirs from the data."""
+
 FLAGS = A.LONG_CODES + """,
 flagged AS (
   SELECT o_orderkey AS subject_id, o_orderpriority AS unit,""" + ",".join(f"""
@@ -234,7 +236,16 @@ flagged AS (
 def flagged(spark, folder):
     orders = read_table(spark, folder, "orders", ["o_orderkey", "o_orderpriority"])
     rows = orders.toDF("subject_id", "unit")
-    return C.code_flags(rows, A.long_codes(spark, folder), BRANDS)
+    long = A.long_codes(spark, folder)
+    return C.code_flags(rows, long, all_codes(long))
+
+
+def all_codes(long):
+    return C.select_codes(C.code_prevalence(long), 0.0)
+
+
+def flag_columns(rows):
+    return [c for c in rows.columns if c.startswith("code_")]
 
 
 FLAG_COLUMNS = [f"code_{b}" for b in BRANDS]
@@ -248,16 +259,18 @@ def code_flags(spark, folder):
 @query("WITH" + FLAGS + " SELECT * FROM flagged")
 def code_flags_from_arrays(spark, folder):
     orders = read_table(spark, folder, "orders", ["o_orderkey", "o_orderpriority"])
-    arrays = C.code_arrays(A.long_codes(spark, folder), "subject_id", {"codes": "code"})
+    long = A.long_codes(spark, folder)
+    arrays = C.code_arrays(long, "subject_id", {"codes": "code"})
     rows = orders.toDF("subject_id", "unit").join(arrays, "subject_id", "left")
-    return C.array_flags(rows, "codes", BRANDS).drop("codes")
+    return C.array_flags(rows, "codes", all_codes(long)).drop("codes")
 
 
 @query("WITH" + FLAGS + """
 SELECT subject_id, code, present FROM flagged
 UNPIVOT (present FOR code IN (""" + ", ".join(f'"{c}"' for c in FLAG_COLUMNS) + "))")
 def flags_long(spark, folder):
-    return C.flags_long(flagged(spark, folder), ["subject_id"], FLAG_COLUMNS)
+    rows = flagged(spark, folder)
+    return C.flags_long(rows, ["subject_id"], flag_columns(rows))
 
 
 @query("WITH" + FLAGS + """,
@@ -267,7 +280,8 @@ SELECT unit, code, CAST(sum(present) AS BIGINT) AS n_subjects,
        round(sum(present) / count(*), 3) AS prevalence
 FROM long GROUP BY unit, code HAVING round(sum(present) / count(*), 3) >= 0.10""")
 def prevalence_by_stratum(spark, folder):
-    return C.prevalence_by_stratum(flagged(spark, folder), "unit", FLAG_COLUMNS, 0.10)
+    rows = flagged(spark, folder)
+    return C.prevalence_by_stratum(rows, "unit", flag_columns(rows), 0.10)
 
 
 @query("WITH" + FLAGS + """,
@@ -278,17 +292,18 @@ SELECT code, round(max(a) - min(a), 6) AS prev_range, round(min(a), 6) AS prev_m
        round(max(a), 6) AS prev_max
 FROM p GROUP BY code ORDER BY round(max(a) - min(a), 9) DESC, code LIMIT 3""")
 def prevalence_range(spark, folder):
-    out = C.prevalence_range(flagged(spark, folder), "unit", FLAG_COLUMNS, 3)
+    rows = flagged(spark, folder)
+    out = C.prevalence_range(rows, "unit", flag_columns(rows), 3)
     return out.withColumns({c: r6(c) for c in ("prev_range", "prev_min", "prev_max")})
 
 
 @query("WITH" + A.DIAGNOSES + """
 SELECT hadm_id, list_sort(list(DISTINCT category))[1] AS first_code,
        count(DISTINCT category) AS n_codes
-FROM coded WHERE seq_num <= 5 AND category IS NOT NULL GROUP BY hadm_id""")
+FROM coded WHERE category IS NOT NULL GROUP BY hadm_id""")
 def parse_code_text(spark, folder):
     """Arrays written as text in either form, then parsed back."""
-    arrays = C.code_arrays(coded(spark, folder), "hadm_id", {"codes": "category"}, "seq_num", 5)
+    arrays = C.code_arrays(coded(spark, folder), "hadm_id", {"codes": "category"})
     quoted = F.concat(F.lit("['"), F.array_join("codes", "', '"), F.lit("']"))
     text = F.when(F.size("codes") == 0, "[]").when(F.col("hadm_id") % 2 == 0, quoted).otherwise(
         F.array_join("codes", ", ")

@@ -8,7 +8,7 @@ from sequela.functions.exprs import join_groups, r6
 from sequela.operators import cohort as K
 from sequela.operators import describe as D
 from sequela.operators import providers as P
-from sequela.operators.joins import label_by, star
+from sequela.operators.joins import label_by, lookup, star
 from sequela.plans.registry import query
 from sequela.sources import adapters as A
 from sequela.sources.tables import read_table
@@ -183,11 +183,9 @@ def star_assembly(spark, folder):
     dose = P.subject_max(lines.where(F.col("l_quantity") > 30), "o_orderkey", dose="l_tax")
     failures = lines.where(F.col("l_returnflag") == "R").groupBy("o_orderkey").agg(
         F.count(F.lit(1)).alias("n_failures"))
-    wide = star(
-        orders, (dose, ["o_orderkey"]), (failures, ["o_orderkey"]),
-        (customer.withColumnRenamed("c_custkey", "o_custkey"), ["o_custkey"]),
-        (nation.withColumnRenamed("n_nationkey", "c_nationkey"), ["c_nationkey"]),
-    )
+    customer = lookup(customer, nation.withColumnRenamed("n_nationkey", "c_nationkey"), ["c_nationkey"])
+    wide = star(orders, (dose, ["o_orderkey"]), (failures, ["o_orderkey"]))
+    wide = lookup(wide, customer.withColumnRenamed("c_custkey", "o_custkey"), ["o_custkey"])
     return wide.select(
         "o_orderkey", "c_mktsegment", "n_name", F.coalesce("dose", F.lit(0.0)).alias("dose"),
         F.coalesce("n_failures", F.lit(0)).alias("n_failures"),

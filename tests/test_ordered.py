@@ -110,10 +110,11 @@ def test_lookup(spark, rows, both, how):
     assert sorted((r.id, r.name) for r in out.collect()) == want
 
 
-def test_band_join(spark, both):
+@pytest.mark.parametrize("left_span, right_span", [(2000, 2000), (60, 2000), (60, 60)])
+def test_band_join(spark, both, left_span, right_span):
     rng = random.Random(9)
-    left = [(i, rng.choice([1, 1, 2, 3]), rng.randrange(2000)) for i in range(60)]
-    right = [(i, rng.choice([1, 1, 1, 2]), rng.randrange(2000)) for i in range(150)]
+    left = [(i, rng.choice([1, 1, 2, 3]), rng.randrange(left_span)) for i in range(60)]
+    right = [(i, rng.choice([1, 1, 1, 2]), rng.randrange(right_span)) for i in range(150)]
     lo, hi = -7, 40
     ldf = spark.createDataFrame(left, "a long, k long, lt long").withColumn(
         "lt", F.timestamp_micros("lt"))
