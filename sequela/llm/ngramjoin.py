@@ -53,12 +53,13 @@ class Similarity:
         return 2 * size * (self.den - self.num) // (self.den + self.num)
 
     def bands(self, largest: int) -> np.ndarray:
-        """Smallest size of each band, up to one past ``largest``."""
+        """Smallest size of each band, up to two past that of ``largest``. A band is the same whatever
+        ``largest`` is, as sets of different batches must agree on it."""
         ratio = max(BAND_RATIO, self.den / self.num)
         lows = [1]
-        while lows[-1] <= largest:
+        while len(lows) < 3 or lows[-2] <= largest:
             lows.append(int(np.ceil(lows[-1] * ratio)) if lows[-1] > 2 else lows[-1] + 1)
-        return np.array([*lows, int(np.ceil(lows[-1] * ratio)) + 1], np.int64)
+        return np.array(lows, np.int64)
 
 
 def sets_of(column: pa.Array, how: Similarity, seed: int) -> Iterator[tuple]:

@@ -49,3 +49,11 @@ def test_odd_tables(spark):
     kept = ngramjoin.one_of_each(docs).collect()
     assert sorted(r.node for r in kept) == [1, 2, 4, 5]
     assert ngramjoin.groups(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("how", [Similarity(5, 80, 100), Similarity(4, 85, 100), Similarity(2, 60, 100)])
+def test_bands_do_not_depend_on_the_largest_set_of_a_batch(how):
+    most = how.bands(100_000)
+    for largest in range(1, 3_000):
+        lows = how.bands(largest)
+        assert list(lows) == list(most[:len(lows)]) and lows[-2] > largest
