@@ -12,8 +12,10 @@ similar pair shares one. What shares a signature is verified on the sets.
 Equal sets are one node (named by a 64-bit digest, checked by a second one). Members of a signature
 are not paired with one another: each is first compared with one centre, links become components,
 and then only pairs of members in different components are compared, which loses no link and finds
-the same components as all pairs would. Before sets are fetched, sketches (a byte for each sub-part) rule
-out most pairs: a differing element changes one sub-part at most.
+the same components as all pairs would. Before sets are fetched, sketches (half a byte for each sub-part)
+rule out most pairs: one bit tells whether the sub-part holds an odd number of elements and three are of its
+hash, so that a sub-part that differs tells of one element at least, and of two if the numbers are both even
+or both odd.
 """
 
 from __future__ import annotations
@@ -111,7 +113,7 @@ def sub_parts(hashes: np.ndarray, sizes: np.ndarray, how: Similarity, up: int):
         sums = np.zeros(int((parts * TRIPLE).sum()), np.uint64)
         target = base[inside] + cell
         order = np.argsort(target, kind="stable")
-        target, terms = target[order], mix(items, 22)[order]
+        target, terms = target[order], mix(items, 22)[order] | np.uint64(1)  # the sum is odd where the number is
         edge = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
         sums[target[edge]] = np.add.reduceat(terms, edge)
     owner = np.repeat(who, parts)
@@ -120,7 +122,8 @@ def sub_parts(hashes: np.ndarray, sizes: np.ndarray, how: Similarity, up: int):
 
 
 def signatures(hashes: np.ndarray, sizes: np.ndarray, how: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, signature) of the sets that lie one after the other in ``hashes``."""
+    """(owner, signature) of the sets that lie one after the other in ``hashes``. A signature's lowest bit
+    is that of its band's number, which tells the sketches of a set in its two bands apart."""
     owners, values = [], []
     for up in (0, 1):
         owner, part, place, sums = sub_parts(hashes, sizes, how, up)
@@ -128,16 +131,24 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray, how: Similarity) -> tuple[
             name = mix((place << 40).astype(np.uint64) + part.astype(np.uint64), 23)
             for j, (x, y) in enumerate(PAIR):
                 owners.append(owner)
-                values.append(mix(mix(sums[:, x], 24) + mix(sums[:, y], 25) + name, 26 + j).view(np.int64))
+                value = mix(mix(sums[:, x], 24) + mix(sums[:, y], 25) + name, 26 + j).view(np.int64)
+                values.append(value & ~1 | place & 1)
     return np.concatenate(owners), np.concatenate(values)
 
 
-def sketches(hashes: np.ndarray, sizes: np.ndarray, how: Similarity, up: int) -> list[bytes]:
-    """A byte of each sub-part's hash, for each set."""
-    owner, _, _, sums = sub_parts(hashes, sizes, how, up)
-    flat = (mix(sums.ravel(), 31) >> np.uint64(56)).astype(np.uint8).tobytes()
-    ends = np.searchsorted(owner, np.arange(len(sizes)), "right") * TRIPLE
-    return [flat[a:b] for a, b in zip(np.append(0, ends[:-1]), ends)]
+def sketches(hashes: np.ndarray, sizes: np.ndarray, how: Similarity, up: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of the sets that have sub-parts in the band: owner, band, and half a byte for each sub-part."""
+    owner, _, place, sums = sub_parts(hashes, sizes, how, up)
+    who, first = np.unique(owner, return_index=True)
+    cells = (mix(sums, 31) >> np.uint64(60)).astype(np.uint8) & 14 | (sums & np.uint64(1)).astype(np.uint8)
+    flat, ends = cells.tobytes(), np.append(first[1:], len(owner)) * TRIPLE
+    out = []
+    for a, b in zip(first * TRIPLE, ends):
+        cell = np.frombuffer(flat, np.uint8, b - a, a)
+        if len(cell) % 2:
+            cell = np.append(cell, np.uint8(0))
+        out.append((cell[::2] | cell[1::2] << 4).tobytes())
+    return who, place[first], out
 
 
 def _digest_rows(how: Similarity, seed: int):
@@ -223,56 +234,49 @@ def _sketch_rows(how: Similarity, seed: int):
     def run(batches):
         for batch in batches:
             for _, _, hashes, sizes, node, _ in sets_of(batch.column(1), how, seed):
-                band = np.searchsorted(how.bands(int(sizes.max(initial=1))), sizes, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node), pa.array(sizes), pa.array(band), *(pa.array(sketches(hashes, sizes, how, up), pa.binary()) for up in (0, 1))],
-                    ["node", "n", "band", "own", "above"])
+                for up in (0, 1):
+                    who, place, data = sketches(hashes, sizes, how, up)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(node[who]), pa.array(place & 1), pa.array(place), pa.array(sizes[who]), pa.array(data, pa.binary())],
+                        ["node", "odd", "band", "n", "sketch"])
     return run
 
 
-SKETCH = "node long, n long, band long, own binary, above binary"
+SKETCH = "node long, odd long, band long, n long, sketch binary"
 
 
 def may_be_similar(n: np.ndarray, sketch: np.ndarray, i: int, others: np.ndarray, how: Similarity) -> np.ndarray:
-    """Which of ``others`` (all of the group's one instance) may be similar to ``i``: every element in
-    which two sets differ changes one sub-part at most, so similar sets agree on all but so many."""
-    total = n[i] + n[others]
-    differ = total * (how.den - how.num) // (how.den + how.num)
-    return (sketch[others] != sketch[i]).sum(1) <= differ
-
-
-def _instance(rows: list[int], band, own, above) -> tuple[np.ndarray, np.ndarray]:
-    """Members that have a sketch in the highest band of the group, and their sketches."""
-    top = max(band[r] for r in rows)
-    kept, data = [], []
-    for r in rows:
-        sketch = own[r] if band[r] == top else above[r] if band[r] == top - 1 else b""
-        if sketch:
-            kept.append(r)
-            data.append(sketch)
-    if not kept:  # sets so small that only equal ones are similar
-        return np.zeros(0, np.int64), np.zeros((0, 0), np.uint8)
-    return np.array(kept, np.int64), np.frombuffer(b"".join(data), np.uint8).reshape(len(kept), -1)
+    """Which of ``others`` (sketches of the same band) may be similar to ``i``: similar sets differ in no more
+    elements than their sizes allow, and the sketches tell a number of elements in which they do."""
+    differ = (n[i] + n[others]) * (how.den - how.num) // (how.den + how.num)
+    both = LEAST[sketch[others] ^ sketch[i]]
+    return both.sum(1, dtype=np.int64) <= differ
+
+
+def _least() -> np.ndarray:
+    """For each byte by which two sketches differ (two sub-parts), the elements that differ at least."""
+    half = np.array([0 if not x else 1 if x & 1 else 2 for x in range(16)], np.uint8)
+    return half[np.arange(256) & 15] + half[np.arange(256) >> 4]
+
+
+LEAST = _least()
 
 
 def _close_pairs(how: Similarity):
-    """From rows of (signature, block, block) groups, sorted: pairs of members in different components
+    """From rows of (signature, block, block) and band, sorted: pairs of members in different components
     whose sketches do not rule them out. Where the sets are there, pairs are verified at once and a
     pair that earlier links of the group have joined is skipped. Holds one group, of two blocks at
     most."""
 
     def pairs(group: list[tuple]):
-        n = np.array([r[3] for r in group])
-        band, own, above = [r[4] for r in group], [r[5] for r in group], [r[6] for r in group]
-        kept, data = _instance(list(range(len(group))), band, own, above)
-        node, root, side = (np.array([group[r][k] for r in kept]) for k in (1, 2, 7))
-        n = n[kept]
-        sets = [np.frombuffer(group[r][8], np.uint64) for r in kept] if group[0][8] is not None else None
+        node, root, n, side = (np.array([r[k] for r in group]) for k in (2, 3, 4, 5))
+        data = np.frombuffer(b"".join(r[6] for r in group), np.uint8).reshape(len(group), -1)
+        sets = [np.frombuffer(r[7], np.uint64) for r in group] if group[0][7] is not None else None
         out_a, out_b = [], []
-        for i in range(len(kept)):
+        for i in range(len(group)):
             if side[i] == 1:  # the second block is met from the first
                 continue
-            others = np.flatnonzero((root != root[i]) & ((side == 1) | ((side == 2) & (np.arange(len(kept)) > i))))
+            others = np.flatnonzero((root != root[i]) & ((side == 1) | ((side == 2) & (np.arange(len(group)) > i))))
             if not len(others):
                 continue
             small, large = np.minimum(n[i], n[others]), np.maximum(n[i], n[others])
@@ -298,10 +302,10 @@ def _close_pairs(how: Similarity):
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
             for row in zip(*columns):
-                if row[0] != key:
+                if row[:2] != key:
                     if len(group) > 1:
                         yield from pairs(group)
-                    group, key = [], row[0]
+                    group, key = [], row[:2]
                 group.append(row)
         if len(group) > 1:
             yield from pairs(group)
@@ -313,11 +317,9 @@ def _close_stars(how: Similarity):
         for batch in batches:
             c = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
             good = []
-            for r in range(batch.num_rows):
-                n = np.array([c["na"][r], c["nb"][r]])
-                kept, data = _instance([0, 1], [c["xb"][r], c["yb"][r]], [c["xo"][r], c["yo"][r]], [c["xa"][r], c["ya"][r]])
-                good.append(len(kept) == 2 and how.den * n.min() >= how.num * n.max()
-                            and bool(may_be_similar(n, data, 0, np.array([1]), how)[0]))
+            for na, nb, x, y in zip(c["na"], c["nb"], c["x"], c["y"]):
+                n, data = np.array([na, nb]), np.frombuffer(x + y, np.uint8).reshape(2, -1)
+                good.append(how.den * min(na, nb) >= how.num * max(na, nb) and bool(may_be_similar(n, data, 0, np.array([1]), how)[0]))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
     return run
 
@@ -382,14 +384,15 @@ def groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     wanted = members.select("node").distinct()
     reps = staged(nodes.join(wanted, "node").select("node", "rep"), "named")
     sketched = staged(semi(docs, staged(reps.select(F.col("rep").alias("doc_id")), "reps"), "doc_id")
-                      .mapInArrow(_sketch_rows(how, seed), SKETCH).dropDuplicates(["node"]), "sketches")
+                      .mapInArrow(_sketch_rows(how, seed), SKETCH).dropDuplicates(["node", "odd"]), "sketches")
 
     # Each node against the centre it shares most signatures with ...
-    shared = members.where("node <> first").groupBy(F.col("node").alias("b"), F.col("first").alias("a")).agg(F.count("*").alias("c"))
-    star = shared.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
-    x = sketched.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("band").alias("xb"), F.col("own").alias("xo"), F.col("above").alias("xa"))
-    y = sketched.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("band").alias("yb"), F.col("own").alias("yo"), F.col("above").alias("ya"))
-    star = staged(star.join(x, "a").join(y, "b").mapInArrow(_close_stars(how), "a long, b long"), "stars")
+    odd = F.col("sig").bitwiseAND(F.lit(1)).alias("odd")
+    shared = members.where("node <> first").groupBy(F.col("node").alias("b"), F.col("first").alias("a"), odd).agg(F.count("*").alias("c"))
+    star = shared.groupBy("b").agg(F.max_by(F.struct("a", "odd"), F.struct("c", "a", "odd")).alias("to")).select("b", "to.*")
+    x = sketched.select(F.col("node").alias("a"), "odd", "band", F.col("n").alias("na"), F.col("sketch").alias("x"))
+    y = sketched.select(F.col("node").alias("b"), "odd", "band", F.col("n").alias("nb"), F.col("sketch").alias("y"))
+    star = staged(star.join(x, ["a", "odd"]).join(y, ["b", "odd", "band"]).mapInArrow(_close_stars(how), "a long, b long"), "stars")
     links = linked(docs, star, reps, how, seed)
     roots = staged(components(links, "a", "b"), "roots")
 
@@ -404,12 +407,12 @@ def groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     met = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
     low, high = F.least("own_block", "other"), F.greatest("own_block", "other")
     side = F.when(low == high, 2).when(F.col("own_block") == low, 0).otherwise(1)
-    rows = met.select(F.xxhash64("sig", low, high).alias("key"), "node", "root", side.alias("side"), "size").join(sketched, "node")
+    rows = met.select(F.xxhash64("sig", low, high).alias("key"), "node", "root", side.alias("side"), "size", odd).join(sketched, ["node", "odd"])
     sets = sets_for(docs, open_.where(F.col("size") > DENSE).select("node"), reps, how, seed)
-    row = ["key", "node", "root", "n", "band", "own", "above", "side"]
+    row = ["key", "band", "node", "root", "n", "side", "sketch"]
     rows = (rows.where(F.col("size") <= DENSE).select(*row, F.lit(None).cast("binary").alias("items"))
             .union(rows.where(F.col("size") > DENSE).join(sets, "node").select(*row, "items")))
-    rows = rows.repartition("key").sortWithinPartitions("key")
+    rows = rows.repartition("key").sortWithinPartitions("key", "band")
     close = staged(rows.mapInArrow(_close_pairs(how), "a long, b long, sure boolean").distinct(), "close")
     more = close.where("sure").select("a", "b").union(linked(docs, staged(close.where("NOT sure").select("a", "b"), "close"), reps, how, seed))
     roots = staged(components(links.union(more), "a", "b"), "roots")
