@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 """A word: a run of anything but ASCII white space."""
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+"""Spark's setting under which a query's shuffle files are removed when it ends."""
+
 BROADCAST_IDS = 2_000_000
 """At most this many ids (16 MB) are broadcast; more are joined by a shuffle."""
 
@@ -38,10 +41,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written to the shared folder as Parquet and read back: a cut of its lineage that any
-    executor can read again."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    executor can read again. The shuffle files of the write go when it ends, as nothing reads them
+    after that; the session's own setting holds again afterwards."""
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    back = spark.read.schema(df.schema).parquet(path)
     back.staged_path = path
     return back
 
