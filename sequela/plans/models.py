@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from sequela.functions.exprs import r6
@@ -322,9 +320,9 @@ def boosted_importances(spark, folder):
     prepared = model.transform(rows.withColumn("held_out", F.col("split") == "val")).select(
         "features", "died", "held_out"
     ).persist()
-    fit = R.boosted_classifier(
-        labelCol="died", maxIter=5, validationIndicatorCol="held_out", validationTol=1e-4
-    ).fit(prepared)
+    fit = R.stopped_early(
+        R.boosted_classifier(labelCol="died"), prepared.where("NOT held_out"), prepared.where("held_out")
+    )
     prepared.unpersist()
     return R.importances(spark, fit, model.labels())
 
@@ -404,14 +402,10 @@ DML = X.DmlSpec(
 )
 
 
-def simple_learners(leaf: int = 20):
-    return (lambda: LogisticRegression(regParam=1e-3)), (lambda: LinearRegression(regParam=1e-6))
-
-
 def boosted_learners(leaf: int = 20):
     return (
-        lambda: R.boosted_classifier(maxIter=2, minInstancesPerNode=leaf),
-        lambda: R.boosted_regressor(maxIter=2, minInstancesPerNode=leaf),
+        lambda: R.boosted_classifier(minInstancesPerNode=leaf),
+        lambda: R.boosted_regressor(minInstancesPerNode=leaf),
     )
 
 
@@ -422,12 +416,12 @@ def double_ml(spark, folder):
 
 @query()
 def double_ml_fold_quality(spark, folder):
-    return X.fold_quality(X.residuals(base(spark, folder), DML, *simple_learners()), "died", "rate")
+    return X.fold_quality(X.residuals(base(spark, folder), DML, *boosted_learners()), "died", "rate")
 
 
 @query()
 def double_ml_report(spark, folder):
-    res = X.residuals(base(spark, folder), DML, *simple_learners())
+    res = X.residuals(base(spark, folder), DML, *boosted_learners())
     return X.effect_report(res, X.theta(res), "died", "rate")
 
 
@@ -439,7 +433,7 @@ def double_ml_by_group(spark, folder):
         kept = C.select_codes(C.code_prevalence(long, cohort=part, denominator="cohort"), 0.10)
         return part, kept
 
-    return X.by_group(with_flags(spark, folder), GROUPS, DML, simple_learners, min_providers=5,
+    return X.by_group(with_flags(spark, folder), GROUPS, DML, boosted_learners, min_providers=5,
                       flags_for=flags_for)
 
 

@@ -1,0 +1,55 @@
+"""Boosting queries use the full number of rounds; what decides an early stop."""
+
+import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.regression import GBTRegressor
+
+from sequela.operators.predict import boosted_classifier, rounds_until_flat, stopped_early
+from sequela.plans import models
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+class Seen(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["double_ml", "double_ml_fold_quality", "double_ml_report", "double_ml_by_group"])
+def test_cross_fitting_boosts_300_rounds(spark, monkeypatch, name):
+    def residuals(rows, spec, outcome, treatment):
+        y, d = outcome(), treatment()
+        assert isinstance(y, GBTClassifier) and isinstance(d, GBTRegressor)
+        assert {(m.getMaxIter(), m.getMaxDepth(), m.getStepSize()) for m in (y, d)} == {(300, 4, 0.05)}
+        raise Seen
+
+    monkeypatch.setattr(models.X, "residuals", residuals)
+    with pytest.raises(Seen):
+        getattr(models, name)(spark, FOLDER)
+
+
+def test_importances_boost_300_rounds(spark, monkeypatch):
+    def stopped(learner, train, held_out):
+        assert learner.getMaxIter() == 300
+        raise Seen
+
+    monkeypatch.setattr(models.R, "stopped_early", stopped, raising=False)
+    with pytest.raises(Seen):
+        models.boosted_importances(spark, FOLDER)
+
+
+def test_rounds_until_flat():
+    falling = [1 - 0.01 * i for i in range(50)]
+    assert rounds_until_flat(falling) == 50
+    assert rounds_until_flat([0.5] * 50) == 21
+    assert rounds_until_flat(falling + [0.6] * 50) == 50 + 11
+    assert rounds_until_flat([3, 2, 2, 2, 2], patience=2) == 4
+
+
+def test_stop_keeps_the_first_rounds(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = spark.createDataFrame([(Vectors.dense(i % 7, i % 5), float(i % 7 > 3)) for i in range(200)], ["features", "label"])
+    learner = boosted_classifier(maxIter=4, maxDepth=1)
+    full = learner.fit(rows)
+    flat = stopped_early(learner, rows, rows, patience=1, tol=10.0)
+    assert [t.toDebugString.split("\n", 1)[1] for t in flat.trees] == [t.toDebugString.split("\n", 1)[1] for t in full.trees[:2]]
