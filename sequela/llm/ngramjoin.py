@@ -180,7 +180,7 @@ def _signature_rows(how: Similarity, seed: int):
 
 def _shared_runs(batches):
     """From rows sorted by signature and node: the signatures that several nodes share, with the
-    smallest node of each. Holds one batch at a time; a run may go over many."""
+    smallest node of each, every node once. Holds one batch at a time; a run may go over many."""
     held = None  # last row seen, not yet known to share: (sig, node)
     current = first = None
     for batch in batches:
@@ -208,7 +208,7 @@ def _shared_runs(batches):
             held, current, first = (sig[-1], node[-1]), None, None
         else:
             held, current, first = (sig[-1], node[-1]), sig[-1], lead[-1]
-            out[-1] = False  # comes again with the next batch
+            out &= ~(open_ended & (node == node[-1]))  # the open run of repeats comes again with the next batch, as one row
         if out.any():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sig[out]), pa.array(node[out]), pa.array(lead[out])], ["sig", "node", "first"])
