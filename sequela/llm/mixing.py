@@ -6,7 +6,9 @@ Shards: a source's documents are dealt by hash into shards of bounded size, so n
 whole source. Blocks: within a shard the documents stand in seeded order, and their words are cut
 into blocks of ``block`` words. Highest quotients (divisors 1, 3, 5, ...) give each shard an integer
 number of blocks; a shard takes all of its blocks as often as they fit in, and the rest as the
-blocks with the smallest seeded hashes. So every run takes the same words.
+blocks with the smallest seeded hashes. So every run takes the same words; rows without a doc_id, or
+with one of more rows than a shard, are dealt by their place in the table, so theirs are the same
+only if the table is read in the same splits.
 
 Only DataFrame operations are used. Documents' texts are never shuffled: the tables that move hold
 one row a document, a block, a shard or a source.
@@ -22,6 +24,10 @@ from pyspark.sql import functions as F
 from sequela.llm.common import staged
 
 
+ROW = "_mix_row"
+"""Each row's own key."""
+
+
 @dataclass(frozen=True)
 class Mix:
     """``weights`` repeat over the sources in code point order (null last)."""
@@ -93,17 +99,24 @@ def plan(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     with a hash up to it are taken once more; null for none).
 
     Null texts and texts without words have size 0 and are taken 0 times. Rows that repeat a doc_id
-    are documents of their own. A null source is one source.
+    or have none are documents of their own, told apart by ``_mix_row`` (made here if ``docs`` has
+    none). A null source is one source.
     """
     size = words(F.col("text").cast("string"))
-    sized = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    sized = staged(docs.select(row.alias(ROW), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                                size.alias("size")), "sizes")
     aims = staged(targets(sized, how), "targets")
-    lane = F.pmod(F.xxhash64(F.lit(how.seed), "doc_id"), F.ceil(F.col("n_rows") / how.shard_rows)).cast("int")
-    s, a = sized.alias("s"), aims.alias("a")
-    placed = s.join(a, F.col("s.source").eqNullSafe(F.col("a.source"))).select(
-        "s.doc_id", "s.source", "s.size", "a.source_size", "a.target", lane.alias("shard"))
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(how.seed + 1), "doc_id"), "doc_id", "size")
+    # A doc_id of more rows than a shard, or none, would fill one shard: such rows are dealt one by one.
+    many = staged(sized.groupBy("doc_id").agg(F.count("*").alias("n")).where((F.col("n") > how.shard_rows) | F.col("doc_id").isNull())
+                  .select("doc_id", F.lit(True).alias("many")), "many")
+    one_by_one = F.when(F.col("m.many"), F.col(f"s.{ROW}"))
+    lane = F.pmod(F.xxhash64(F.lit(how.seed), "s.doc_id", one_by_one), F.ceil(F.col("n_rows") / how.shard_rows)).cast("int")
+    s, a, m = sized.alias("s"), aims.alias("a"), F.broadcast(many).alias("m")
+    placed = s.join(a, F.col("s.source").eqNullSafe(F.col("a.source"))).join(
+        m, F.col("s.doc_id").eqNullSafe(F.col("m.doc_id")), "left").select(
+        f"s.{ROW}", "s.doc_id", "s.source", "s.size", "a.source_size", "a.target", lane.alias("shard"))
+    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(how.seed + 1), "doc_id"), "doc_id", "size", ROW)
     before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
     placed = staged(placed.withColumn("start", F.coalesce(before, F.lit(0)).cast("long")), "placed")
 
@@ -155,11 +168,11 @@ def mixed(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     at most. A document taken whole keeps its text as it is; of one taken in part the words taken
     stand with single spaces between. Documents of which nothing is taken go.
     """
-    planned = taken(plan(docs, how), how).where("taken > 0")
-    rules = staged(planned.select(F.col("doc_id").alias("_id"), F.struct("size", "source", "shard", "start", "whole", "last").alias("_rule"))
-                   .dropDuplicates(["_id"]), "rules")
     keep = docs.columns
-    rows = docs.join(rules, docs["doc_id"].cast("long").eqNullSafe(rules["_id"])).select(
+    docs = staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")  # the same key in the plan and here
+    planned = taken(plan(docs, how), how).where("taken > 0")
+    rules = staged(planned.select(F.col(ROW).alias("_key"), F.struct("size", "source", "shard", "start", "whole", "last").alias("_rule")), "rules")
+    rows = docs.join(rules, docs[ROW] == rules["_key"]).select(
         *[docs[c] for c in keep], F.explode(F.sequence(F.lit(1), F.lit(how.most))).alias("_turn"), "_rule")
     rule = F.col("_rule")
     once = lambda b: rule["whole"] + F.coalesce(
