@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sequela.llm import chat, graphdup, mixing, ngramjoin, pieces, secrets, sharding, topk, toxicity, warc
+from sequela.llm import chat, graphdup, mixing, ngramjoin, pieces, repeats, secrets, sharding, topk, toxicity, treequant, warc, whiten
 from sequela.llm.common import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,37 @@ def op9_sharding(spark, folder):
 @query()
 def op10_ngramjoin(spark, folder):
     return ngramjoin.groups(table(spark, folder, "documents"), SIMILAR)
+
+
+@query()
+def op11_repeats(spark, folder):
+    return repeats.without_repeats(table(spark, folder, "documents"))
+
+
+ROUND = """
+a{r} AS MATERIALIZED (SELECT vec_id, part, (k % 256)::INTEGER AS entry, ((k - k % 256) / 256)::BIGINT AS far, y FROM (
+    SELECT vec_id, part, any_value(p.y) AS y, min(256 * (list_inner_product(p.y, p.y) - 2 * list_inner_product(p.y, c.y)
+           + list_inner_product(c.y, c.y)) + entry)::BIGINT AS k FROM p JOIN c{r} c USING (part) GROUP BY vec_id, part)),"""
+MOVE = """
+s{r} AS MATERIALIZED (SELECT part, entry, i, floor(sum(y[i + 1]) / count(*)) AS x FROM a{q}, range(16) t(i) GROUP BY part, entry, i),
+c{r} AS MATERIALIZED (SELECT part, entry, coalesce(any_value(n.y), any_value(c{q}.y)) AS y
+       FROM c{q} LEFT JOIN (SELECT part, entry, list(x ORDER BY i) AS y FROM s{r} GROUP BY part, entry) n USING (part, entry) GROUP BY part, entry),"""
+
+
+@query("""
+WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, list_slice(x, 16 * part + 1, 16 * part + 16) AS y FROM v, range(4) t(part)),
+c0 AS MATERIALIZED (SELECT part, n - 1 AS entry, y FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY vec_id) AS n FROM p) WHERE n <= 256),"""
+       + "".join(ROUND.format(r=r) + MOVE.format(q=r, r=r + 1) for r in range(4)) + ROUND.format(r=4) + """
+d AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256
+      FROM (SELECT part, entry, i, y[i + 1] AS x FROM c4, range(16) t(i))),
+e AS (SELECT vec_id, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM a4 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e JOIN v USING (vec_id), d""")
+def op12_treequant(spark, folder):
+    return treequant.report(table(spark, folder, "embeddings"))
+
+
+@query()
+def op13_whiten(spark, folder):
+    return whiten.whitened(table(spark, folder, "embeddings"))
