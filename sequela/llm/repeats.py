@@ -12,8 +12,9 @@ brings copies of a passage near each other, and dealt into shards of bounded siz
 hashes of their bytes). Each shard sorts its suffixes by one letter after the other; neighbours with a
 common prefix of ``DEPTH`` letters are repeated windows.
 
-*Merge.* Windows whose anchor lies in several shards are merged without sorting suffixes again: in
-round h the merged order by h letters follows from that by h - 1 letters and the letter that comes
+*Merge.* An anchor's windows lie in its context, a few hundred bytes. Where shards hold the same context,
+all its windows are repeated and the first of these shards brings them to the merge for all. Windows of an anchor
+that then still lies in several shards are merged without sorting suffixes again: in round h the merged order by h letters follows from that by h - 1 letters and the letter that comes
 before (the Burrows-Wheeler letter), by a stable counting of (letter, interval) pairs. A pair's place in the
 order is the new interval. An interval held by one shard only is settled, since shards know
 their own repeats, and leaves; what is in an interval of several shards after the last round has a
@@ -41,20 +42,22 @@ LETTER, DEPTH = 50, 4
 WINDOW = LETTER * DEPTH
 """Strings of this many bytes that occur twice are removed."""
 
-SHARD = 1 << 20
-"""Bytes of pieces in a shard, about."""
+SHARD = 1 << 21
+"""Bytes of pieces in a shard, about (the last piece may exceed it); ``rep`` has room for 8 million windows."""
 
-PIECE = 64
+PIECE = 16
 """Anchors of a piece on average (a piece ends where the text says so), at most 32 times as many."""
 
 PART = 1 << 20
 """Positions hashed at a time."""
 
-TEXTS = "text_no long, copies long, text string, hashes array<long>, places array<long>"
+TEXTS = "text_no long, copies long, digest binary, text string, hashes array<long>, places array<long>"
 PIECES = "key long, text_no long, first long, copies long, data binary, hashes array<long>, places array<long>"
 SHARDS = ("shard long, data binary, ends array<long>, text_nos array<long>, firsts array<long>, copies array<long>, "
-          "anchors array<long>, hashes array<long>, places array<long>")
-FOUND = "shard long, text_no long, lo long, hi long, alone boolean, l1 long, l2 long, l3 long, l4 long"
+          "anchors array<long>, hashes array<long>, places array<long>, contexts array<long>")
+FOUND = "text_no long, lo long, hi long, rep long, l1 long, l2 long, l3 long, l4 long"
+"""A run of repeated windows, or (with ``rep``: 40 bits for the shard, 23 for the window, a bit if it is the
+only one of its kind there) a window for the merge with its letters."""
 
 
 # ── Hashes and anchors ───────────────────────────────────────────────────────────────────────
@@ -88,6 +91,15 @@ def gram_hashes(data: np.ndarray, length: int) -> np.ndarray:
     return mix(out, 21)
 
 
+def span_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each string data[first:end], lengths as they come."""
+    up, down = _powers(1 << max(21, len(data).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(BYTE[data] * up[:len(data)], out=sums[1:])
+        return mix((sums[end] - sums[first]) * down[first] + mix((end - first).astype(np.uint64), 4), 22)
+
+
 def _smallest(keys: np.ndarray, span: int) -> np.ndarray:
     """Minimum of every ``span`` neighbours, by doubling."""
     width = 1
@@ -126,13 +138,13 @@ def _lists(arrays: list[np.ndarray], kind=pa.int64()) -> pa.Array:
 
 def _anchor_rows(batches):
     for batch in batches:
-        data, offsets = text_bytes(batch.column(2))
+        data, offsets = text_bytes(batch.column(3))
         for first, end in slices(offsets):
             found = [anchors(data[offsets[i]:offsets[i + 1]]) for i in range(first, end)]
             part = batch.slice(first, end - first)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), part.column(2).cast(pa.string()), _lists([f[0] for f in found]), _lists([f[1] for f in found])],
-                ["text_no", "copies", "text", "hashes", "places"])
+                [*part.columns[:3], part.column(3).cast(pa.string()), _lists([f[0] for f in found]), _lists([f[1] for f in found])],
+                [c.split()[0] for c in TEXTS.split(", ")])
 
 
 # ── Pieces and shards ────────────────────────────────────────────────────────────────────────
@@ -179,10 +191,17 @@ def _packed(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
     data = table.column("data").to_pylist()
     plain = {c: table.column(c).to_numpy() for c in ("text_no", "first", "copies")}
     lists = {c: pa.concat_arrays(table.column(c).chunks) for c in ("hashes", "places")}
-    arrays = [np.cumsum([len(d) for d in data]), *plain.values(), np.asarray(pc.list_value_length(lists["hashes"])).astype(np.int64),
-              *(np.asarray(c.flatten()) for c in lists.values())]
+    ends, counts = np.cumsum([len(d) for d in data]), np.asarray(pc.list_value_length(lists["hashes"])).astype(np.int64)
+    places = np.asarray(lists["places"].flatten())
+    data = b"".join(data)
+    # An anchor's context is the text of all its windows: from its first to the end of its last.
+    last = np.cumsum(counts + 1) - 1
+    base = np.repeat(np.append(0, ends[:-1]), counts)
+    first, end = base + np.delete(places, last), base + np.delete(places, last - counts) + WINDOW - 1
+    contexts = span_hashes(np.frombuffer(data, np.uint8), first, end).view(np.int64)
+    arrays = [ends, *plain.values(), counts, np.asarray(lists["hashes"].flatten()), places, contexts]
     return pa.RecordBatch.from_arrays(
-        [pa.array([number], pa.int64()), pa.array([b"".join(data)], pa.binary()), *(_lists([a]) for a in arrays)],
+        [pa.array([number], pa.int64()), pa.array([data], pa.binary()), *(_lists([a]) for a in arrays)],
         [c.split()[0] for c in SHARDS.split(", ")])
 
 
@@ -191,7 +210,7 @@ def _shard_rows(limit: int):
     def run(batches):
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 18
         held, size = [], 0
         for batch in batches:
             sizes = np.asarray(pc.binary_length(batch.column(4)))
@@ -246,15 +265,16 @@ def _runs(mask: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shard_found(batches):
-    """Per shard (with ``split``, its anchors that other shards have too): runs of windows repeated
-    inside it, and one window of each kind that the merge has to look at."""
+    """Per shard, with the contexts that other shards hold too (``whole``) and those that it brings to the
+    merge (``split``): runs of repeated windows, and one window of each kind for the merge."""
     names = [c.split()[0] for c in FOUND.split(", ")]
     for batch in batches:
         for i in range(len(batch)):
             row = {c: batch.column(batch.schema.get_field_index(c))[i] for c in batch.schema.names}
             data = np.frombuffer(row["data"].as_buffer(), np.uint8)
-            ends, text_nos, firsts, copies, counts, hashes, places = (
-                np.asarray(row[c].values) for c in ("ends", "text_nos", "firsts", "copies", "anchors", "hashes", "places"))
+            ends, text_nos, firsts, copies, counts, contexts, places = (
+                np.asarray(row[c].values) for c in ("ends", "text_nos", "firsts", "copies", "anchors", "contexts", "places"))
+            whole, split = (np.zeros(0, np.int64) if row[c].values is None else np.asarray(row[c].values) for c in ("whole", "split"))
             starts = np.append(0, ends[:-1])
             # ``places`` holds an anchor's first window and, after a piece's last, the number of windows.
             last = np.cumsum(counts + 1) - 1
@@ -266,23 +286,20 @@ def _shard_found(batches):
             letters, depth = suffix_ranks(data)
             kinds = depth[where]
             weight = np.bincount(kinds, weights=copies[piece], minlength=1)
-            again = weight[kinds] > 1
+            again = (weight[kinds] > 1) | np.repeat(np.isin(contexts, whole), spans)
             a, b = _runs(again, piece)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(a), row["shard"].as_py()), pa.int64()), pa.array(text_nos[piece[a]]), pa.array(firsts[piece[a]] + inside[a]),
-                 pa.array(firsts[piece[a]] + inside[b] + 1), *[pa.nulls(len(a), t) for t in [pa.bool_()] + [pa.int64()] * 4]], names)
+                [pa.array(text_nos[piece[a]]), pa.array(firsts[piece[a]] + inside[a]), pa.array(firsts[piece[a]] + inside[b] + 1),
+                 *[pa.nulls(len(a), pa.int64())] * 5], names)
 
-            split = row["split"].values
-            if split is None or not len(split):
-                continue
-            met = np.flatnonzero(np.repeat(np.isin(hashes, np.asarray(split)), spans))
+            met = np.flatnonzero(np.repeat(np.isin(contexts, split), spans))
             met = met[np.unique(kinds[met], return_index=True)[1]]
             for low in range(0, len(met), 100_000):
                 m = met[low:low + 100_000]
                 lo = firsts[piece[m]] + inside[m]
+                rep = row["shard"].as_py() << 24 | np.arange(low, low + len(m)) << 1 | ~again[m]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(m), row["shard"].as_py()), pa.int64()), pa.array(text_nos[piece[m]]), pa.array(lo), pa.array(lo + 1),
-                     pa.array(~again[m]), *[pa.array(letters[where[m] + LETTER * d].view(np.int64)) for d in range(DEPTH)]], names)
+                    [pa.array(text_nos[piece[m]]), pa.array(lo), pa.array(lo + 1), pa.array(rep), *[pa.array(letters[where[m] + LETTER * d].view(np.int64)) for d in range(DEPTH)]], names)
 
 
 # ── The merge ────────────────────────────────────────────────────────────────────────────────
@@ -306,7 +323,7 @@ def refined(rows: DataFrame, letter: str) -> DataFrame:
     of one shard are left out; the others' ``interval`` is its place in the merged order."""
     keys = ["letter", "interval"]
     pairs = rows.groupBy(F.col(letter).alias("letter"), "interval").agg(
-        F.count("*").alias("size"), F.min("shard").alias("s0"), F.max("shard").alias("s1")).where("s0 < s1")
+        F.count("*").alias("size"), F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("shiftright(r0, 24) < shiftright(r1, 24)")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.select(*keys, "size").repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     pairs = staged(pairs.mapInArrow(_places, "letter long, interval long, part int, before long, size long"), "intervals")
@@ -328,53 +345,55 @@ def _shared(pairs: DataFrame, key: str, enough, by: str, name: str) -> DataFrame
 
 def repeated(texts: DataFrame, shard: int = SHARD) -> DataFrame:
     """``text_no, lo, hi``: runs of window starts that are repeated, for staged rows as ``TEXTS`` of
-    different texts. Runs of one text may overlap or touch."""
+    different texts, which are released. Runs of one text may overlap or touch."""
     spark = texts.sparkSession
     pairs = texts.select("text_no", "copies", F.explode("hashes").alias("hash"))
     marks = _shared(pairs, "hash", F.sum("copies") > 1, "text_no", "marks")
     pieces = staged(texts.join(marks, "text_no").select("text_no", "copies", "text", "hashes", "places", "marks").mapInArrow(_piece_rows, PIECES), "pieces")
+    release(texts, marks)
     size = pieces.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     parts = max(1, size // (4 * shard))
     order = ["key", F.xxhash64("text_no", "first"), "text_no", "first"]
     shards = staged(pieces.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_shard_rows(shard), SHARDS), "shards")
-    held = shards.select("shard", F.explode(F.array_distinct("hashes")).alias("hash"))
-    split = _shared(held, "hash", F.min("shard") < F.max("shard"), "shard", "split")
-    found = staged(shards.join(split, "shard", "left").mapInArrow(_shard_found, FOUND), "found")
-    release(marks, pieces, shards, split)
-
-    rows = found.where("alone IS NOT NULL").select(
-        "shard", "text_no", "lo", "alone", "l1", "l2", "l3", "l4", F.lit(0).cast("long").alias("interval"))
+    held = shards.select("shard", F.explode(F.arrays_zip("hashes", "contexts")).alias("a")).select(
+        "shard", F.col("a.hashes").alias("hash"), F.col("a.contexts").alias("context")).distinct()
+    contexts = staged(held.groupBy("hash", "context").agg(F.min("shard").alias("owner"), F.count("*").alias("n")), "contexts")
+    whole = held.join(contexts.where("n > 1"), ["hash", "context"]).groupBy("shard").agg(F.collect_set("context").alias("whole"))
+    met = staged(contexts.groupBy("hash").agg(F.min("owner").alias("o0"), F.max("owner").alias("o1")).where("o0 < o1").select("hash"), "met")
+    split = semi(contexts, met, "hash").groupBy(F.col("owner").alias("shard")).agg(F.collect_set("context").alias("split"))
+    columns = [c for c in shards.columns if c != "hashes"]
+    found = staged(shards.select(*columns).join(whole, "shard", "left").join(split, "shard", "left").mapInArrow(_shard_found, FOUND), "found")
+    release(pieces, shards, contexts, met)
+
+    rows = found.where("rep IS NOT NULL").select("rep", "l1", "l2", "l3", "l4", F.lit(0).cast("long").alias("interval"))
     old = None
     for letter in ("l4", "l3", "l2", "l1"):
         rows = refined(rows, letter)
         release(*([old] if old else []))
         old = rows
-    across = rows.where("alone").select("text_no", "lo", (F.col("lo") + 1).alias("hi"))
-    return found.where("alone IS NULL").select("text_no", "lo", "hi").union(across)
+    across = found.where("rep % 2 = 1").select("rep", "text_no", "lo", "hi").join(rows.where("rep % 2 = 1").select("rep"), "rep").drop("rep")
+    return found.where("rep IS NULL").select("text_no", "lo", "hi").union(across)
 
 
 def _kept(batches):
-    """Columns text_no, text, copies, runs -> what is left of each text."""
+    """Columns digest, text, runs -> what is left of each text."""
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
         out = []
         for i in range(len(batch)):
             text = data[offsets[i]:offsets[i + 1]]
             change = np.zeros(len(text) + 1, np.int32)
-            if batch.column(2)[i].as_py() > 1:
-                change[0], change[-1] = 1, -1
-            runs = batch.column(3)[i].values
-            if runs is not None:
-                np.add.at(change, np.asarray(runs.field(0)), 1)
-                np.add.at(change, np.asarray(runs.field(1)) + WINDOW - 1, -1)
+            runs = batch.column(2)[i].values
+            np.add.at(change, np.asarray(runs.field(0)), 1)
+            np.add.at(change, np.asarray(runs.field(1)) + WINDOW - 1, -1)
             gone = np.cumsum(change[:-1]) > 0
             kept = text[~gone].tobytes()
             spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
             out.append((batch.column(0)[i].as_py(), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
         columns = list(zip(*out)) or [[]] * 5
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))],
-            ["text_no", "n_removed", "n_spans", "kept_sha256", "kept"])
+            [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()))],
+            ["digest", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def without_repeats(docs: DataFrame, shard: int = SHARD) -> DataFrame:
@@ -389,17 +408,19 @@ def without_repeats(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     shared_folder(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("digest", F.unhex(F.md5("text")))
-    long_ = rows.where(F.octet_length("text") >= WINDOW)
-    texts = staged(long_.groupBy("digest").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-                   .withColumn("text_no", F.monotonically_increasing_id()), "texts")
-    marked = staged(texts.select("text_no", "copies", "text").mapInArrow(_anchor_rows, TEXTS), "anchors")
-    runs = staged(repeated(marked, shard), "runs")
-    release(marked)
-    runs = runs.groupBy("text_no").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    hit = texts.join(runs, "text_no", "left").where("runs IS NOT NULL OR copies > 1").select("text_no", "text", "copies", "runs")
-    left = hit.mapInArrow(_kept, "text_no long, n_removed long, n_spans long, kept_sha256 string, kept binary").drop("kept")
-    left = staged(left.join(texts.select("text_no", "digest"), "text_no").drop("text_no"), "left")
+    long_ = rows.where(F.octet_length("text") >= WINDOW).groupBy("digest").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    texts = staged(long_.select(F.monotonically_increasing_id().alias("text_no"), "copies", "digest", "text").mapInArrow(_anchor_rows, TEXTS), "texts")
+    names = staged(texts.select("text_no", "digest", "copies"), "names")
+    runs = staged(repeated(texts, shard).groupBy("text_no").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")
+    hit = staged(names.join(runs, "text_no", "left").where("runs IS NOT NULL OR copies > 1").select("digest", "copies", "runs"), "hit")
+    release(names, runs)
+    few = hit.where("copies = 1").select("digest", "runs")
+    left = rows.join(few, "digest").select("digest", "text", "runs").mapInArrow(
+        _kept, "digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary").drop("kept")
+    left = staged(left.union(hit.where("copies > 1").select(
+        "digest", F.lit(None).cast("long"), F.lit(1).cast("long"), F.sha2(F.lit(b""), 256))), "left")
     every = rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     out = lookup(every, left, ["digest"])
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-                      F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    hit_ = F.col("n_spans").isNotNull()
+    return out.select("doc_id", "n_bytes", F.when(hit_, F.coalesce("n_removed", "n_bytes")).otherwise(0).cast("long").alias("n_removed"),
+                      F.when(hit_, F.col("n_spans")).otherwise(0).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
