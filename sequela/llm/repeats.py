@@ -42,7 +42,7 @@ LETTER, DEPTH = 50, 4
 WINDOW = LETTER * DEPTH
 """Strings of this many bytes that occur twice are removed."""
 
-SHARD = 1 << 21
+SHARD = 1 << 20
 """Bytes of pieces in a shard, about (the last piece may exceed it); ``rep`` has room for 8 million windows."""
 
 PIECE = 16
@@ -236,8 +236,8 @@ def _ranks(codes: np.ndarray) -> np.ndarray:
     sorted_ = codes[order]
     new = np.ones(len(codes), bool)
     new[1:] = sorted_[1:] != sorted_[:-1]
-    out = np.empty(len(codes), np.int64)
-    out[order] = np.cumsum(new) - 1
+    out = np.empty(len(codes), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32) - 1
     return out
 
 
@@ -250,8 +250,8 @@ def suffix_ranks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(DEPTH - 1):
         n = len(depth) - LETTER
         if n <= 0:
-            return letters, np.zeros(0, np.int64)
-        depth = _ranks(first[:n] * np.int64(len(first) + 1) + depth[LETTER:LETTER + n])
+            return letters, np.zeros(0, np.int32)
+        depth = _ranks(first[:n].astype(np.int64) * (len(first) + 1) + depth[LETTER:LETTER + n])
     return letters, depth
 
 
@@ -279,9 +279,9 @@ def _shard_found(batches):
             # ``places`` holds an anchor's first window and, after a piece's last, the number of windows.
             last = np.cumsum(counts + 1) - 1
             windows = places[last]
-            piece = np.repeat(np.arange(len(ends)), windows)
-            inside = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
-            where = starts[piece] + inside
+            piece = np.repeat(np.arange(len(ends), dtype=np.int32), windows)
+            inside = (np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)).astype(np.int32)
+            where = (starts[piece] + inside).astype(np.int32)
             spans = np.delete(np.diff(places), last[:-1])
             letters, depth = suffix_ranks(data)
             kinds = depth[where]
