@@ -388,22 +388,24 @@ def encode(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk:
     no ids and one row. Rows that repeat stay; a null doc_id is kept. A mark U+2581 in a text reads as
     a space, as in the library.
     """
-    return _encoded(docs, model or default_model(), giant, chunk, [], ENCODED)
+    plain, giants = _encoded(docs, model or default_model(), giant, chunk, [], ENCODED)
+    return plain if giants is None else plain.union(giants)
 
 
-def _encoded(docs: DataFrame, model: str, giant: int, chunk: int, then: list, schema: str) -> DataFrame:
+def _encoded(docs: DataFrame, model: str, giant: int, chunk: int, then: list, schema: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of plain texts and those of giant ones, as two frames: neither has to make the other's to leave them out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     large = F.coalesce(F.char_length("text") > giant, F.lit(False))
     plain = rows.where(~large).mapInArrow(_then(_plain_rows(model), *then), schema)
     giants = staged(rows.where(large).select("doc_id", F.monotonically_increasing_id().alias("key"), "text"), "giants")
     if giants.isEmpty():
-        return plain
+        return plain, None
     cut = staged(giants.mapInArrow(_cut_rows(chunk, 2 * load(model).longest), CUT), "chunks")
     tasks = max(1, min(10_000, cut.count() // 4))  # long work on few bytes: dealt out by number
     matrices = cut.repartition(tasks, "key", "chunk").mapInArrow(_transfers(model, chunk), "key long, chunk long, bits array<string>")
     states = staged(matrices.groupBy("key").applyInArrow(_chosen, "key long, chunk long, enter long, leave long"), "states")
     traced = cut.join(states, ["key", "chunk"]).repartition(tasks, "key", "chunk").select(*cut.columns, "enter", "leave")
-    return plain.union(traced.mapInArrow(_then(_traces(model, chunk), *then), schema))
+    return plain, traced.mapInArrow(_then(_traces(model, chunk), *then), schema)
 
 
 def _decoded(path: str):
@@ -428,26 +430,28 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     ``ids_sha256`` is of the ids as 32-bit little-endian integers. Chunks of a giant text are joined
     as bytes, so a character whose bytes lie in two chunks is whole again.
     """
-    return _whole(encoded.mapInArrow(_decoded(model or default_model()), DECODED))
+    step = _decoded(model or default_model())
+    return _whole(*(encoded.where(rows).mapInArrow(step, DECODED) for rows in ("text_no < 0", "text_no >= 0")))
 
 
 def round_trip(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """As ``decode(encode(docs))``, each text's ids decoded by the worker that made them."""
     model = model or default_model()
-    return _whole(_encoded(docs, model, giant, chunk, [_decoded(model)], DECODED))
+    return _whole(*_encoded(docs, model, giant, chunk, [_decoded(model)], DECODED))
 
 
 DECODED = "doc_id long, text_no long, chunk long, n long, ids binary, data binary"
 
 
-def _whole(rows: DataFrame) -> DataFrame:
-    whole = rows.where("text_no < 0").select("doc_id", "text_no", F.col("n").alias("n_tokens"), "ids", "data")
-    joined = (rows.where("text_no >= 0").groupBy("doc_id", "text_no")
-              .agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("chunk", "ids", "data"))).alias("c"))
-              .select("doc_id", "text_no", "n_tokens",
-                      F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"),
-                      F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("data")))
-    both = whole.union(joined)
+def _whole(plain: DataFrame, chunks: DataFrame | None) -> DataFrame:
+    both = plain.select("doc_id", "text_no", F.col("n").alias("n_tokens"), "ids", "data")
+    if chunks is not None:
+        both = both.union(
+            chunks.groupBy("doc_id", "text_no")
+            .agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("chunk", "ids", "data"))).alias("c"))
+            .select("doc_id", "text_no", "n_tokens",
+                    F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"),
+                    F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("data")))
     text = F.replace(F.decode("data", "UTF-8"), F.lit(SPACE), F.lit(" "))
     return both.select("doc_id", "text_no", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.when(F.startswith(text, F.lit(" ")), F.substr(text, F.lit(2))).otherwise(text).alias("text"))
