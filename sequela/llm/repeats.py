@@ -48,7 +48,7 @@ SHARD = 1 << 20
 PIECE = 16
 """Anchors of a piece on average (a piece ends where the text says so), at most 32 times as many."""
 
-PART = 1 << 20
+PART = 1 << 19
 """Positions hashed at a time."""
 
 TEXTS = "text_no long, copies long, digest binary, text string, hashes array<long>, places array<long>"
@@ -118,8 +118,8 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     windows = len(data) - WINDOW + 1
     span = WINDOW - GRAM + 1
     hashes = gram_hashes(data, GRAM)
-    bits = np.uint64(21)
-    mask = np.uint64((1 << 21) - 1)
+    bits = np.uint64(20)
+    mask = np.uint64((1 << 20) - 1)
     at = np.empty(windows, np.int64)
     for low in range(0, windows, PART):  # places within a part fit the low bits
         part = hashes[low:low + PART + span - 1]
@@ -165,7 +165,7 @@ def _piece_rows(batches):
     for batch in batches:
         data, offsets = text_bytes(batch.column(2))
         numbers, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        rows = []
+        rows, size = [], 0
         for i in range(len(batch)):
             hashes, places = (np.asarray(batch.column(c)[i].values) for c in (3, 4))
             marked = np.isin(hashes, np.asarray(batch.column(5)[i].values))
@@ -173,9 +173,10 @@ def _piece_rows(batches):
                 lo, hi = places[a], places[b]
                 rows.append((hashes[a:b].min(), numbers[i], lo, copies[i],
                              data[offsets[i] + lo:offsets[i] + hi - 1 + WINDOW].tobytes(), hashes[a:b], places[a:b + 1] - lo))
-            if sum(len(r[4]) for r in rows[-64:]) > PART or len(rows) > 2000:
-                yield _piece_batch(rows)
-                rows = []
+                size += hi - lo
+                if size > PART:
+                    yield _piece_batch(rows)
+                    rows, size = [], 0
         yield _piece_batch(rows)
 
 
@@ -379,21 +380,21 @@ def _kept(batches):
     """Columns digest, text, runs -> what is left of each text."""
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
-        out = []
-        for i in range(len(batch)):
-            text = data[offsets[i]:offsets[i + 1]]
-            change = np.zeros(len(text) + 1, np.int32)
-            runs = batch.column(2)[i].values
-            np.add.at(change, np.asarray(runs.field(0)), 1)
-            np.add.at(change, np.asarray(runs.field(1)) + WINDOW - 1, -1)
-            gone = np.cumsum(change[:-1]) > 0
-            kept = text[~gone].tobytes()
-            spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            out.append((batch.column(0)[i].as_py(), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-        columns = list(zip(*out)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()))],
-            ["digest", "n_removed", "n_spans", "kept_sha256", "kept"])
+        for first, end in slices(offsets, PART):
+            out = []
+            for i in range(first, end):
+                text = data[offsets[i]:offsets[i + 1]]
+                change = np.zeros(len(text) + 1, np.int32)
+                runs = batch.column(2)[i].values
+                np.add.at(change, np.asarray(runs.field(0)), 1)
+                np.add.at(change, np.asarray(runs.field(1)) + WINDOW - 1, -1)
+                gone = np.cumsum(change[:-1]) > 0
+                kept = text[~gone].tobytes()
+                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                out.append((int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+            columns = zip((pa.int64(), pa.int64(), pa.string()), zip(*out))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(first, end - first), *(pa.array(c, t) for t, c in columns)], ["digest", "n_removed", "n_spans", "kept_sha256"])
 
 
 def without_repeats(docs: DataFrame, shard: int = SHARD) -> DataFrame:
@@ -416,7 +417,7 @@ def without_repeats(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     release(names, runs)
     few = hit.where("copies = 1").select("digest", "runs")
     left = rows.join(few, "digest").select("digest", "text", "runs").mapInArrow(
-        _kept, "digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary").drop("kept")
+        _kept, "digest binary, n_removed long, n_spans long, kept_sha256 string")
     left = staged(left.union(hit.where("copies > 1").select(
         "digest", F.lit(None).cast("long"), F.lit(1).cast("long"), F.sha2(F.lit(b""), 256))), "left")
     every = rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
