@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from sequela.functions.exprs import r6
@@ -313,18 +315,25 @@ def ridge_logistic(spark, folder):
     return R.coefficients(spark, fit, model.labels())
 
 
+def boosted_baseline(spark, folder):
+    """Labels of the features, the boosted classifier of the outcome and the scored validation and test rows."""
+    rows = split(spark, folder)
+    features = N.fit_features(rows.where(F.col("split") == "train"), FEATURES, one_hot=False)
+    prepared = features.transform(rows).select("features", "died", "split")
+    model, scored = R.boosted(prepared, "died", {"val": 1, "test": 2}, "split")
+    return features.labels(), model, scored
+
+
 @query()
 def boosted_importances(spark, folder):
-    rows = split(spark, folder).where(F.col("split") != "test")
-    model = N.fit_features(rows.where(F.col("split") == "train"), FEATURES, one_hot=False)
-    prepared = model.transform(rows.withColumn("held_out", F.col("split") == "val")).select(
-        "features", "died", "held_out"
-    ).persist()
-    fit = R.stopped_early(
-        R.boosted_classifier(labelCol="died"), prepared.where("NOT held_out"), prepared.where("held_out")
-    )
-    prepared.unpersist()
-    return R.importances(spark, fit, model.labels())
+    labels, model, _ = boosted_baseline(spark, folder)
+    return R.importances(spark, model, labels)
+
+
+@query()
+def boosted_quality(spark, folder):
+    _, model, scored = boosted_baseline(spark, folder)
+    return V.quality(scored, "score", "died", ["split"]).withColumn("rounds", F.lit(len(model.trees)))
 
 
 @query()
@@ -398,43 +407,42 @@ def permutation_importance(spark, folder):
 
 DML = X.DmlSpec(
     outcome="died", treatment="rate", ids=IDS,
-    features=N.FeatureSpec(("age", "severity", "dose", "hours"), ("hours",), ("gender", "category")),
+    features=N.FeatureSpec(tuple(c for c in FEATURES.continuous if c != "rate"), FEATURES.log1p, FEATURES.categorical),
 )
+FLAGS = ("flag_0", "flag_1", "flag_2", "flag_never")
 
 
-def boosted_learners(leaf: int = 20):
-    return (
-        lambda: R.boosted_classifier(minInstancesPerNode=leaf),
-        lambda: R.boosted_regressor(minInstancesPerNode=leaf),
-    )
+def flags_for(part):
+    """The code flags that a tenth of the rows has."""
+    long = C.flags_long(part, ["subject_id"], list(FLAGS)).where(F.col("present") == 1)
+    return part, C.select_codes(C.code_prevalence(long, cohort=part, denominator="cohort"), 0.10)
+
+
+def cross_fitted(spark, folder):
+    """Residuals of outcome and treatment given all confounders and the selected flags."""
+    rows, flags = flags_for(with_flags(spark, folder))
+    return X.boosted_residuals([(rows, replace(DML, features=replace(DML.features, flags=tuple(flags))), 20)])
 
 
 @query()
 def double_ml(spark, folder):
-    return X.theta(X.residuals(base(spark, folder), DML, *boosted_learners()))
+    return X.theta(cross_fitted(spark, folder))
 
 
 @query()
 def double_ml_fold_quality(spark, folder):
-    return X.fold_quality(X.residuals(base(spark, folder), DML, *boosted_learners()), "died", "rate")
+    return X.fold_quality(cross_fitted(spark, folder), "died", "rate")
 
 
 @query()
 def double_ml_report(spark, folder):
-    res = X.residuals(base(spark, folder), DML, *boosted_learners())
+    res = cross_fitted(spark, folder)
     return X.effect_report(res, X.theta(res), "died", "rate")
 
 
 @query()
 def double_ml_by_group(spark, folder):
-    def flags_for(part):
-        long = C.flags_long(part, ["subject_id"], ["flag_0", "flag_1", "flag_2", "flag_never"])
-        long = long.where(F.col("present") == 1)
-        kept = C.select_codes(C.code_prevalence(long, cohort=part, denominator="cohort"), 0.10)
-        return part, kept
-
-    return X.by_group(with_flags(spark, folder), GROUPS, DML, boosted_learners, min_providers=5,
-                      flags_for=flags_for)
+    return X.by_group(with_flags(spark, folder), GROUPS, DML, min_providers=5, flags_for=flags_for)
 
 
 # Residuals from group means stand in for those of a model: the estimate given them is exact.
