@@ -10,9 +10,11 @@ sub-parts, and of every two of the three the elements there are hashed to a sign
 similar pair shares one. What shares a signature is verified on the sets.
 
 Equal sets are one node (named by a 64-bit digest, checked by a second one). Members of a signature
-are not paired with one another: each is first compared with one centre, links become components,
-and then only pairs of members in different components are compared, which loses no link and finds
-the same components as all pairs would. Before sets are fetched, sketches (half a byte for each sub-part)
+are not paired with one another: each is first compared with one centre and links become components. In
+rounds of contraction each signature then names a forest of possible links between its members'
+components, and what is verified merges them; in each round members take turns differently. Only pairs of
+members that are still in different components are compared one by one at the end, which loses no link and
+finds the same components as all pairs would. Before sets are fetched, sketches (half a byte for each sub-part)
 rule out most pairs: one bit tells whether the sub-part holds an odd number of elements and three are of its
 hash, so that a sub-part that differs tells of one element at least, and of two if the numbers are both even
 or both odd.
@@ -39,6 +41,10 @@ DENSE = 512
 """Members of a signature from which their sets go along, so that only links that join components
 come out of the group and not all of its close pairs."""
 
+CONTRACTIONS = 2
+"""Rounds in which every signature names no more pairs than its members less one, before the pairs that are
+still open are named."""
+
 PAIR, TRIPLE = ((0, 1), (0, 2), (1, 2)), 3
 
 
@@ -154,11 +160,11 @@ def sketches(hashes: np.ndarray, sizes: np.ndarray, how: Similarity, up: int) ->
 def _digest_rows(how: Similarity, seed: int):
     def run(batches):
         for batch in batches:
-            ids, text = batch.column(0), batch.column(1)
+            ids, text, told = batch.column(0), batch.column(1), batch.column(2)
             for first, end, _, sizes, one, two in sets_of(text, how, seed):
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, end - first), pa.array(sizes), pa.array(one), pa.array(two)],
-                    ["doc_id", "n_shingles", "node", "check"])
+                    [ids.slice(first, end - first), told.slice(first, end - first), pa.array(sizes), pa.array(one), pa.array(two)],
+                    ["doc_id", "told", "n_shingles", "node", "check"])
     return run
 
 
@@ -262,13 +268,16 @@ def _least() -> np.ndarray:
 LEAST = _least()
 
 
-def _close_pairs(how: Similarity):
+def _close_pairs(how: Similarity, turn: int | None = None):
     """From rows of (signature, block, block) and band, sorted: pairs of members in different components
     whose sketches do not rule them out. Where the sets are there, pairs are verified at once and a
-    pair that earlier links of the group have joined is skipped. Holds one group, of two blocks at
-    most."""
+    pair that earlier links of the group have joined is skipped. With ``turn`` no pair is named that those
+    named before would join if they were links: a forest. Holds one group, of two blocks at most."""
 
     def pairs(group: list[tuple]):
+        if turn is not None:
+            place = mix(np.array([r[2] for r in group]).view(np.uint64), 31 + turn)
+            group = [group[i] for i in np.argsort(place)]
         node, root, n, side = (np.array([r[k] for r in group]) for k in (2, 3, 4, 5))
         data = np.frombuffer(b"".join(r[6] for r in group), np.uint8).reshape(len(group), -1)
         sets = [np.frombuffer(r[7], np.uint64) for r in group] if group[0][7] is not None else None
@@ -282,10 +291,10 @@ def _close_pairs(how: Similarity):
             small, large = np.minimum(n[i], n[others]), np.maximum(n[i], n[others])
             others = others[how.den * small >= how.num * large]
             others = others[may_be_similar(n, data, i, others, how)]
-            if sets is not None:
+            if sets is not None or turn is not None:
                 joined = []
                 for o in others:
-                    if root[o] != root[i] and similar(sets[i], sets[o], how):
+                    if root[o] != root[i] and (sets is None or similar(sets[i], sets[o], how)):
                         root[root == root[o]] = root[i]
                         joined.append(o)
                 others = np.array(joined, np.int64)
@@ -360,17 +369,53 @@ def linked(docs: DataFrame, pairs: DataFrame, reps: DataFrame, how: Similarity,
     return good
 
 
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``sig, node, root, size`` of the signatures with members in several components, each set of members once."""
+    labelled = staged(members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root")), "labelled")
+    alike = labelled.groupBy("sig").agg(
+        F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"), F.count("*").alias("size"),
+        F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    mixed = staged(alike.groupBy("x", "y", "size").agg(F.min("sig").alias("sig")).select("sig", "size"), "mixed")
+    found = staged(labelled.join(mixed, "sig"), "open")
+    release(labelled, mixed)
+    return found
+
+
+def _met(open_: DataFrame) -> DataFrame:
+    """The members of each signature by pairs of blocks: ``key, node, root, side, size, odd``."""
+    ways = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocked = open_.withColumn("ways", ways).withColumn("own_block", F.pmod("node", "ways").cast("int"))
+    met = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    low, high = F.least("own_block", "other"), F.greatest("own_block", "other")
+    side = F.when(low == high, 2).when(F.col("own_block") == low, 0).otherwise(1)
+    return met.select(F.xxhash64("sig", low, high).alias("key"), "node", "root", side.alias("side"), "size",
+                      F.col("sig").bitwiseAND(F.lit(1)).alias("odd"))
+
+
 def groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     """Per document: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest doc_id reachable
     by links, itself included.
 
-    Null and blank texts have the empty set and link with nothing. Rows without a doc_id are left
-    out; rows that repeat a doc_id are listed as often as they come and link like any others.
+    Null and blank texts have the empty set and link with nothing. Rows without a doc_id link with nothing
+    and have no component_id; rows that repeat a doc_id are listed as often as they come and link like any others.
     Columns other than ``doc_id`` and ``text`` are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    return _grouped(docs, how).select("doc_id", "n_shingles", "component_id")
+
+
+TOLD = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+"""Tells texts of one doc_id apart."""
+
+DIGESTS = "doc_id long, told long, n_shingles long, node long, check long"
+
+
+def _grouped(docs: DataFrame, how: Similarity) -> DataFrame:
+    """The columns of :func:`groups` with ``told`` and the component's node ``root`` (null for empty sets)."""
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), TOLD.alias("told"))
+    unnamed, read = read.where("doc_id IS NULL"), read.where("doc_id IS NOT NULL")
+    docs = read.select("doc_id", "text")
     for seed in range(100):  # a 64-bit name that two different sets share is found and another taken
-        named = staged(docs.mapInArrow(_digest_rows(how, seed), "doc_id long, n_shingles long, node long, check long"), "digests")
+        named = staged(read.mapInArrow(_digest_rows(how, seed), DIGESTS), "digests")
         nodes = staged(named.where("n_shingles > 0").groupBy("node").agg(
             F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"),
             F.min("check").alias("c0"), F.max("check").alias("c1")), "nodes")
@@ -396,20 +441,20 @@ def groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     links = linked(docs, star, reps, how, seed)
     roots = staged(components(links, "a", "b"), "roots")
 
-    # ... then members of different components against each other, once for each set of members.
-    labelled = staged(members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root")), "labelled")
-    alike = labelled.groupBy("sig").agg(
-        F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"), F.count("*").alias("size"),
-        F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    mixed = alike.groupBy("x", "y", "size").agg(F.min("sig").alias("sig")).select("sig", "size")
-    ways = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_ = staged(labelled.join(staged(mixed, "mixed"), "sig"), "open").withColumn("ways", ways).withColumn("own_block", F.pmod("node", "ways").cast("int"))
-    met = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
-    low, high = F.least("own_block", "other"), F.greatest("own_block", "other")
-    side = F.when(low == high, 2).when(F.col("own_block") == low, 0).otherwise(1)
-    rows = met.select(F.xxhash64("sig", low, high).alias("key"), "node", "root", side.alias("side"), "size", odd).join(sketched, ["node", "odd"])
-    sets = sets_for(docs, open_.where(F.col("size") > DENSE).select("node"), reps, how, seed)
+    # ... then forests between components, and at the end what is still open.
     row = ["key", "band", "node", "root", "n", "side", "sketch"]
+    for turn in range(CONTRACTIONS):
+        open_ = _open(members, roots)
+        named_pairs = (_met(open_).join(sketched, ["node", "odd"]).select(*row, F.lit(None).cast("binary").alias("items"))
+                       .repartition("key").sortWithinPartitions("key", "band").mapInArrow(_close_pairs(how, turn), "a long, b long, sure boolean"))
+        forest = staged(named_pairs.select("a", "b").distinct(), "forest")
+        more = linked(docs, forest, reps, how, seed)
+        before, links = (links, roots), staged(links.union(more), "links")
+        roots = staged(components(links, "a", "b"), "roots")
+        release(open_, forest, more, *before)
+    open_ = _open(members, roots)
+    rows = _met(open_).join(sketched, ["node", "odd"])
+    sets = sets_for(docs, open_.where(F.col("size") > DENSE).select("node"), reps, how, seed)
     rows = (rows.where(F.col("size") <= DENSE).select(*row, F.lit(None).cast("binary").alias("items"))
             .union(rows.where(F.col("size") > DENSE).join(sets, "node").select(*row, "items")))
     rows = rows.repartition("key").sortWithinPartitions("key", "band")
@@ -420,15 +465,31 @@ def groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     by_node = nodes.join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), "rep")
     smallest = by_node.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = by_node.join(smallest, "root").select("node", "component_id")
-    release(members, labelled, reps, sketched, sets, star)
+    classes = by_node.join(smallest, "root").select("node", "root", "component_id")
+    release(members, open_, reps, sketched, sets, star)
+    alone = unnamed.mapInArrow(_digest_rows(how, seed), DIGESTS).select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "told", F.lit(None).cast("long").alias("root"))
     return named.join(classes, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "told", F.when(F.col("n_shingles") > 0, F.col("root")).alias("root")).union(alone)
 
 
 def one_of_each(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
-    """The documents without those that have a smaller doc_id in their component; of rows that
-    repeat a doc_id one stays. All columns are kept, and so are rows without a doc_id."""
-    found = groups(docs, how)
-    keep = staged(found.where("doc_id = component_id").select("doc_id").distinct(), "keep")
-    return semi(docs, keep, "doc_id").dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))
+    """The documents, of each component only the row with the smallest doc_id (then the smallest hash of its
+    text). A doc_id that comes with different texts is a document for each text. All columns are kept, and so are
+    rows without a doc_id and rows whose text has no words."""
+    found = staged(_grouped(docs, how).where("doc_id IS NOT NULL AND root IS NOT NULL")
+                   .groupBy("root", "doc_id", "told").agg(F.count("*").alias("many")), "found")
+    best = found.groupBy("root").agg(F.min(F.struct("doc_id", "told", "many")).alias("best")).select("best.*")
+    best = staged(best, "best")
+    key = ["doc_id", "told"]
+    gone = staged(found.join(best, key, "left_anti").select(*key), "gone")
+    twice = staged(best.where("many > 1").select(*key), "twice")
+    names = {"doc_id": "_one_id", "told": "_one_told"}
+    rows = docs.withColumns({"_one_id": F.col("doc_id").cast("long"), "_one_told": TOLD})
+    gone, twice = (t.withColumnsRenamed(names) for t in (gone, twice))
+    key = [*names.values()]
+    kept = rows.join(gone, key, "left_anti")
+    out = kept.join(twice, key, "left_anti").union(kept.join(twice, key, "left_semi").dropDuplicates(key))
+    release(found, best)
+    return out.select(*docs.columns)
