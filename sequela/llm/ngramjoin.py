@@ -403,7 +403,7 @@ def groups(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     return _grouped(docs, how).select("doc_id", "n_shingles", "component_id")
 
 
-TOLD = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+TOLD = "xxhash64(coalesce(cast(text AS string), ''))"
 """Tells texts of one doc_id apart."""
 
 DIGESTS = "doc_id long, told long, n_shingles long, node long, check long"
@@ -411,7 +411,7 @@ DIGESTS = "doc_id long, told long, n_shingles long, node long, check long"
 
 def _grouped(docs: DataFrame, how: Similarity) -> DataFrame:
     """The columns of :func:`groups` with ``told`` and the component's node ``root`` (null for empty sets)."""
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), TOLD.alias("told"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.expr(TOLD).alias("told"))
     unnamed, read = read.where("doc_id IS NULL"), read.where("doc_id IS NOT NULL")
     docs = read.select("doc_id", "text")
     for seed in range(100):  # a 64-bit name that two different sets share is found and another taken
@@ -486,7 +486,7 @@ def one_of_each(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     gone = staged(found.join(best, key, "left_anti").select(*key), "gone")
     twice = staged(best.where("many > 1").select(*key), "twice")
     names = {"doc_id": "_one_id", "told": "_one_told"}
-    rows = docs.withColumns({"_one_id": F.col("doc_id").cast("long"), "_one_told": TOLD})
+    rows = docs.withColumns({"_one_id": F.col("doc_id").cast("long"), "_one_told": F.expr(TOLD)})
     gone, twice = (t.withColumnsRenamed(names) for t in (gone, twice))
     key = [*names.values()]
     kept = rows.join(gone, key, "left_anti")
