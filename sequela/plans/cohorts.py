@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sequela.functions.exprs import join_groups, r6
@@ -10,8 +12,9 @@ from sequela.operators import describe as D
 from sequela.operators import providers as P
 from sequela.operators.joins import label_by, lookup, star
 from sequela.plans.registry import query
+from sequela.session import shared_folder
 from sequela.sources import adapters as A
-from sequela.sources.tables import read_table
+from sequela.sources.tables import read_table, read_typed_csv, write_csv
 
 
 def patient(spark, folder):
@@ -652,3 +655,21 @@ SELECT 'died', round(abs(d1 - d2) / sqrt((d1 * (1 - d1) + d2 * (1 - d2)) / 2), 6
 def categorical_smd(spark, folder):
     out = D.categorical_smd(patient(spark, folder), ["gender", "died"], "source")
     return rounded(out, "smd")
+
+
+# ── Text in and out ──────────────────────────────────────────────────────────────────────────
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus END AS o_orderstatus,
+       CAST(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS BIGINT) AS o_orderstatus_level,
+       o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS ordered
+FROM orders""")
+def typed_csv(spark, folder):
+    """All orders written as CSV to the shared folder and read back with declared types and levels."""
+    columns = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
+    rows = read_table(spark, folder, "orders", columns)
+    path = f"{shared_folder(spark)}/orders-csv-{uuid.uuid4().hex}"
+    write_csv(rows, path)
+    back = read_typed_csv(spark, path, rows.schema, levels={"o_orderstatus": ["F", "O"]})
+    return back.select("o_orderkey", "o_orderstatus", "o_orderstatus_level", "o_totalprice",
+                       F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered"))

@@ -18,7 +18,7 @@ followup_pairs last_per_subject nearest_within leave_one_out fallback_rate band_
 lookback_measure event_slopes crosswalk code_chapters classify_by_codes code_arrays code_flags
 prevalence_range parse_code_text outcomes cohort_flow quantile_strata quartiles_within provider_summary
 box_stats histogram_equal table_one_categorical partial_correlation score_quality roc_curve
-risk_score last_event_per_subject
+risk_score last_event_per_subject typed_csv
 """.split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
