@@ -41,6 +41,12 @@ DENSE = 512
 """Members of a signature from which their sets go along, so that only links that join components
 come out of the group and not all of its close pairs."""
 
+PAIRS = 1 << 16
+"""Pairs of members that a task looks at in one go (of one member at least, with all others of its group) ..."""
+
+SKETCH_BYTES = 1 << 22
+"""... and bytes of their sketches."""
+
 CONTRACTIONS = 2
 """Rounds in which every signature names no more pairs than its members less one, before the pairs that are
 still open are named."""
@@ -272,55 +278,96 @@ def _close_pairs(how: Similarity, turn: int | None = None):
     """From rows of (signature, block, block) and band, sorted: pairs of members in different components
     whose sketches do not rule them out. Where the sets are there, pairs are verified at once and a
     pair that earlier links of the group have joined is skipped. With ``turn`` no pair is named that those
-    named before would join if they were links: a forest. Holds one group, of two blocks at most."""
-
-    def pairs(group: list[tuple]):
-        if turn is not None:
-            place = mix(np.array([r[2] for r in group]).view(np.uint64), 31 + turn)
-            group = [group[i] for i in np.argsort(place)]
-        node, root, n, side = (np.array([r[k] for r in group]) for k in (2, 3, 4, 5))
-        data = np.frombuffer(b"".join(r[6] for r in group), np.uint8).reshape(len(group), -1)
-        sets = [np.frombuffer(r[7], np.uint64) for r in group] if group[0][7] is not None else None
-        out_a, out_b = [], []
-        for i in range(len(group)):
-            if side[i] == 1:  # the second block is met from the first
-                continue
-            others = np.flatnonzero((root != root[i]) & ((side == 1) | ((side == 2) & (np.arange(len(group)) > i))))
-            if not len(others):
-                continue
-            small, large = np.minimum(n[i], n[others]), np.maximum(n[i], n[others])
-            others = others[how.den * small >= how.num * large]
-            others = others[may_be_similar(n, data, i, others, how)]
-            if sets is not None or turn is not None:
-                joined = []
-                for o in others:
-                    if root[o] != root[i] and (sets is None or similar(sets[i], sets[o], how)):
-                        root[root == root[o]] = root[i]
-                        joined.append(o)
-                others = np.array(joined, np.int64)
-            out_a.append(np.full(len(others), node[i]))
-            out_b.append(node[others])
-        if not out_a:
-            return
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([sets is not None] * len(a))], ["a", "b", "sure"])
+    named before would join if they were links: a forest. Holds a batch and one group, of two blocks at most."""
 
     def run(batches):
-        group, key = [], None
+        held = None
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for row in zip(*columns):
-                if row[:2] != key:
-                    if len(group) > 1:
-                        yield from pairs(group)
-                    group, key = [], row[:2]
-                group.append(row)
-        if len(group) > 1:
-            yield from pairs(group)
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()
+            if not rows:
+                continue
+            last = _group_starts(rows[0])[-1]
+            if last:
+                yield from _named_pairs(rows[0].slice(0, last), how, turn)
+            held = rows[0].slice(last)
+        if held is not None:
+            yield from _named_pairs(held, how, turn)
     return run
 
 
+def _group_starts(rows: pa.RecordBatch) -> np.ndarray:
+    """First row of each run of equal (key, band)."""
+    key, band = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    return np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (band[1:] != band[:-1])))
+
+
+def _named_pairs(rows: pa.RecordBatch, how: Similarity, turn: int | None) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole groups, see :func:`_close_pairs`."""
+    starts = _group_starts(rows)
+    sizes = np.diff(np.append(starts, rows.num_rows))
+    if turn is not None:
+        place = mix(rows.column(2).to_numpy().view(np.uint64), 31 + turn)
+        rows = rows.take(pa.array(np.lexsort((place, np.repeat(np.arange(len(sizes)), sizes)))))
+    node, root, n, side = (rows.column(k).to_numpy() for k in (2, 3, 4, 5))
+    root = root.copy()
+    first, end = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+    sketch, items = rows.column(6), rows.column(7)
+    offsets = np.frombuffer(sketch.buffers()[1], np.int32)[sketch.offset:sketch.offset + rows.num_rows + 1]
+    data = np.frombuffer(sketch.buffers()[2], np.uint8)
+    has_sets = items.is_valid().to_numpy(zero_copy_only=False)
+
+    after = end - 1 - np.arange(rows.num_rows)  # members that a row meets: those after it in its group
+    total = np.append(0, np.cumsum(after))
+    at = 0
+    while at < rows.num_rows:
+        stop = max(int(np.searchsorted(total, total[at] + PAIRS, "right")) - 1, at + 1)
+        met = after[at:stop]
+        i = np.repeat(np.arange(at, stop), met)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(met) - met, met)
+        at = stop
+        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        good = (root[i] != root[j]) & ((side[i] == 2) | (side[i] != side[j])) & (how.den * small >= how.num * large)
+        i, j = i[good], j[good]
+        good = _sketches_agree(data, offsets, n, i, j, how)
+        i, j = i[good], j[good]
+        one_by_one = has_sets[i] if turn is None else np.ones(len(i), bool)
+        a, b, sure = [node[i[~one_by_one]]], [node[j[~one_by_one]]], [np.zeros(int((~one_by_one).sum()), bool)]
+        i, j = i[one_by_one], j[one_by_one]
+        edges = np.append(np.flatnonzero(np.append(True, i[1:] != i[:-1])), len(i)) if len(i) else []
+        for low, high in zip(edges[:-1], edges[1:]):
+            row, others = i[low], j[low:high]
+            group = root[first[row]:end[row]]
+            mine = np.frombuffer(items[row].as_buffer(), np.uint64) if has_sets[row] else None
+            joined = []
+            while len(others := others[root[others] != root[row]]):
+                other, others = others[0], others[1:]
+                if mine is None or similar(mine, np.frombuffer(items[other].as_buffer(), np.uint64), how):
+                    group[group == root[other]] = root[row]
+                    joined.append(other)
+            a.append(np.full(len(joined), node[row]))
+            b.append(node[np.array(joined, np.int64)])
+            sure.append(np.full(len(joined), mine is not None))
+        a, b, sure = np.concatenate(a), np.concatenate(b), np.concatenate(sure)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure)], ["a", "b", "sure"])
+
+
+def _sketches_agree(data: np.ndarray, offsets: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, how: Similarity) -> np.ndarray:
+    """Which of the pairs (i, j), rows of the same bands, :func:`may_be_similar` would let pass."""
+    differ = (n[i] + n[j]) * (how.den - how.num) // (how.den + how.num)
+    good = np.zeros(len(i), bool)
+    length = offsets[i + 1] - offsets[i]
+    for size in np.unique(length):
+        of = np.flatnonzero(length == size)
+        places = np.arange(size)
+        step = max(1, SKETCH_BYTES // max(int(size), 1))
+        for k in range(0, len(of), step):
+            part = of[k:k + step]
+            x, y = (data[offsets[r[part]][:, None] + places] for r in (i, j))
+            good[part] = LEAST[x ^ y].sum(1, dtype=np.int64) <= differ[part]
+    return good
+
+
 def _close_stars(how: Similarity):
     def run(batches):
         for batch in batches:

@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sequela.llm import ngramjoin
-from sequela.llm.ngramjoin import Similarity
+from sequela.llm.common import mix
+from sequela.llm.ngramjoin import Similarity, _close_pairs, may_be_similar, similar
 from tests.llm.test_whole_queries import brute_groups
 
 
@@ -62,3 +65,80 @@ def test_bands_do_not_depend_on_the_largest_set_of_a_batch(how):
     for largest in range(1, 3_000):
         lows = how.bands(largest)
         assert list(lows) == list(most[:len(lows)]) and lows[-2] > largest
+
+
+def _rows(rng, groups, sets):
+    """Rows of groups, sorted: sketches and sets of one band, several blocks and components."""
+    rows = []
+    for key in range(groups):
+        size, blocks = rng.choice([1, 2, 3, 9, 40]), rng.random() < 0.4
+        base = rng.sample(range(10_000), 60)
+        for node in sorted(rng.sample(range(1_000), size)):
+            items = np.array(sorted({*rng.sample(base, 56), *rng.sample(range(10_000), rng.choice([0, 1, 4]))}), np.uint64)
+            hashes = np.sort(mix(items, 1))
+            who, place, data = ngramjoin.sketches(hashes, np.array([len(hashes)]), Similarity(), 0)
+            side = rng.choice([0, 1]) if blocks else 2
+            rows.append((key, int(place[0]), node, rng.choice([node, -1 - node % 3]), len(hashes), side, data[0], hashes.tobytes() if sets else None))
+    return sorted(rows, key=lambda r: r[:2])
+
+
+def _batches(rows, cuts):
+    names = ["key", "band", "node", "root", "n", "side", "sketch", "items"]
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary(), pa.binary()]
+    edges = [0, *sorted(cuts), len(rows)]
+    for a, b in zip(edges, edges[1:]):
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a:b]], kind) for k, kind in enumerate(kinds)], names)
+
+
+def _allowed(rows, how):
+    """Pairs of each group that meet, are in different components and pass size and sketch."""
+    out = {}
+    for x in rows:
+        for y in rows:
+            if x[:2] == y[:2] and x[2] < y[2] and x[3] != y[3] and (x[5] == 2 or x[5] != y[5]):
+                n, data = np.array([x[4], y[4]]), np.frombuffer(x[6] + y[6], np.uint8).reshape(2, -1)
+                if how.den * n.min() >= how.num * n.max() and may_be_similar(n, data, 0, np.array([1]), how)[0]:
+                    out.setdefault(x[:2], []).append((x, y))
+    return out
+
+
+def _parts(rows, pairs):
+    """Components of a group's rows by their roots and the given pairs."""
+    root = {r[2]: r[3] for r in rows}
+    for a, b in pairs:
+        x, y = root[a], root[b]
+        root = {k: x if v == y else v for k, v in root.items()}
+    groups = {}
+    for k, v in root.items():
+        groups.setdefault(v, set()).add(k)
+    return sorted(map(sorted, groups.values()))
+
+
+@pytest.mark.parametrize("pairs", [1, 50, 1 << 16])
+@pytest.mark.parametrize("sets", [False, True])
+def test_pairs_of_groups(monkeypatch, pairs, sets):
+    monkeypatch.setattr(ngramjoin, "PAIRS", pairs)
+    monkeypatch.setattr(ngramjoin, "SKETCH_BYTES", 200)
+    rng, how = random.Random(5), Similarity()
+    for _ in range(12):
+        rows = _rows(rng, 6, sets)
+        cuts = [rng.randrange(len(rows) + 1) for _ in range(rng.randrange(5))]
+        allowed = _allowed(rows, how)
+        links = {k: [(x[2], y[2]) for x, y in v if similar(np.frombuffer(x[7], np.uint64), np.frombuffer(y[7], np.uint64), how)]
+                 for k, v in allowed.items()} if sets else None
+        for turn in (None, 0, 1):
+            got = [tuple(r.values()) for out in _close_pairs(how, turn)(_batches(rows, cuts)) for r in out.to_pylist()]
+            if turn is None and not sets:
+                assert sorted(got) == sorted((x[2], y[2], False) for v in allowed.values() for x, y in v)
+                continue
+            assert all(sure == sets for _, _, sure in got)
+            named = 0
+            for key in {r[:2] for r in rows}:
+                members = [r for r in rows if r[:2] == key]
+                may = {(x[2], y[2]) for x, y in allowed.get(key, [])} if not sets else set(links.get(key, []))
+                # A forest that joins what all pairs would join; batches carry no key, so each group is run by itself.
+                alone = [tuple(r.values())[:2] for out in _close_pairs(how, turn)(_batches(members, [])) for r in out.to_pylist()]
+                named += len(alone)
+                assert set(alone) <= may and _parts(members, alone) == _parts(members, may)
+                assert len(alone) == len({r[3] for r in members}) - len(_parts(members, alone))
+            assert named == len(got)
