@@ -105,7 +105,8 @@ def op6_graphdup(spark, folder):
 def op7_secrets(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = secrets.scan(docs, secrets.learn(docs))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_format")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_format",
+                        "n_scored", F.round("least_score", 9).alias("least_score"), F.round("greatest_score", 9).alias("greatest_score"))
 
 
 @query()

@@ -141,6 +141,7 @@ def test_secrets(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in want) for k in patterns)
         assert set(want) <= set(r.spans.split(",")) or not want
+        assert r.n_scored >= len(want) and (r.least_score is None) == (r.n_scored == 0)
         some += len(want)
     assert some
 
