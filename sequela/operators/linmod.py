@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sequela.functions.exprs import scalars
 from sequela.functions.tails import f_upper, t_p, t_two_sided
 from sequela.operators.ordered import quantiles
+from sequela.session import checkpointed
 
 FEATURES = "_features"
 
@@ -310,6 +311,65 @@ def variance_components(rows: DataFrame, group: str, value: str) -> DataFrame:
     )
 
 
+def crossed_components(rows: DataFrame, first: str, second: str, value: str) -> DataFrame:
+    """Variances of two crossed factors and the rest by Henderson's first method; one row.
+
+    The model is ``value = mean + a[first] + b[second] + rest`` with independent effects. The squared
+    sums between levels of either factor and over all rows, each about the overall mean, are set equal to
+    their expectations, which need only the sizes of the occupied cells: one pass over the rows makes
+    count, mean and spread of each cell, and everything after works on the staged cells. A level without an identifier is a level like any other, rows
+    without a value take no part. Negative solutions read 0. Where a factor has one level, or
+    the factors cannot be told apart, the variances are null.
+    """
+    y = F.col(value).cast("double")
+    cells = checkpointed(
+        rows.where(y.isNotNull()).groupBy(F.col(first).alias("_a"), F.col(second).alias("_b")).agg(
+            F.count(F.lit(1)).alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v"))
+    )
+    off = F.col("m") - scalars(cells, m=F.sum(F.col("n") * F.col("m")) / F.sum("n"))("m")
+    cells = cells.select("_a", "_b", "n", (F.col("n") * off).alias("s"), (F.col("n") * (F.col("v") + off * off)).alias("ss"))
+
+    def levels(of: str) -> DataFrame:
+        sums = cells.groupBy(of).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+        return sums.agg(
+            F.count(F.lit(1)).alias("levels"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"),
+            F.sum(F.col("nn") / F.col("n")).alias("other"), F.sum(F.col("n") * F.col("n")).alias("squares"),
+        ).select(F.struct("*").alias("row"))
+
+    a, b = (levels(of).scalar() for of in ("_a", "_b"))
+    whole = cells.agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"), F.sum("ss").alias("ss"))
+    n = F.col("n").cast("double")
+    # Each equation: the sum, and what a unit of either factor's variance and of the rest's adds to it.
+    own_a, own_b = n - a["squares"] / n, n - b["squares"] / n
+    equations = [
+        (a["between"], own_a, a["other"] - b["squares"] / n, a["levels"] - 1.0),
+        (b["between"], b["other"] - a["squares"] / n, own_b, b["levels"] - 1.0),
+        (F.col("ss"), own_a, own_b, n - 1.0),
+    ]
+    named = whole.select(
+        F.col("n").alias("n_rows"), F.col("cells").alias("n_cells"),
+        a["levels"].alias("n_first"), b["levels"].alias("n_second"),
+        *[c.alias(f"_{i}{j}") for i, row in enumerate(equations) for j, c in enumerate(row)],
+    )
+
+    def determinant(order: list[int]):
+        c = [[F.col(f"_{i}{j}") for j in order] for i in range(3)]
+        return sum(
+            (c[0][j] * (c[1][(j + 1) % 3] * c[2][(j + 2) % 3] - c[1][(j + 2) % 3] * c[2][(j + 1) % 3]) for j in range(3)),
+            F.lit(0.0),
+        )
+
+    scale = F.abs(F.col("_01") * F.col("_12") * F.col("_23"))
+    solvable = F.abs("_det") > scale * 1e-12
+    solved = named.withColumn("_det", determinant([1, 2, 3])).select(
+        "n_rows", "n_cells", "n_first", "n_second",
+        *[F.when(solvable, F.greatest(determinant(order) / F.col("_det"), F.lit(0.0))).alias(name)
+          for name, order in (("var_first", [0, 2, 3]), ("var_second", [1, 0, 3]), ("var_rest", [1, 2, 0]))],
+    )
+    total = F.col("var_first") + F.col("var_second") + F.col("var_rest")
+    return solved.withColumns({f"share_{k}": F.when(total > 0, F.col(f"var_{k}") / total) for k in ("first", "second")})
+
+
 def shrunken_means(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Group means pulled towards the overall mean by how little their size supports them."""
     v = scalars(

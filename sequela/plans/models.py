@@ -248,6 +248,33 @@ def variance_components(spark, folder):
     return rounded(out, "var_within", "var_between", "icc")
 
 
+# The three moment equations from level sums, solved by elimination of the rest's variance.
+@query("WITH" + A.BASE + """,
+y AS (SELECT provider_id AS p, unit AS u, died - avg(died) OVER () AS d FROM base WHERE died IS NOT NULL),
+np AS (SELECT p, count(*) AS n, sum(d) AS s FROM y GROUP BY p),
+nu AS (SELECT u, count(*) AS n, sum(d) AS s FROM y GROUP BY u),
+cell AS (SELECT p, u, count(*) AS n FROM y GROUP BY p, u),
+t AS (SELECT (SELECT count(*) FROM y) AS n, (SELECT sum(d * d) FROM y) AS q,
+             (SELECT sum(s * s / n) FROM np) AS qp, (SELECT sum(s * s / n) FROM nu) AS qu,
+             (SELECT count(*) FROM np) - 1 AS dp, (SELECT count(*) FROM nu) - 1 AS du,
+             (SELECT sum(n * n) FROM np) AS sp, (SELECT sum(n * n) FROM nu) AS su,
+             (SELECT sum(c.n * c.n / np.n) FROM cell c JOIN np ON c.p IS NOT DISTINCT FROM np.p) AS xu,
+             (SELECT sum(c.n * c.n / nu.n) FROM cell c JOIN nu ON c.u IS NOT DISTINCT FROM nu.u) AS xp),
+f AS (SELECT *, dp / (n - 1) AS rp, du / (n - 1) AS ru, n - sp / n AS kp, n - su / n AS ku FROM t),
+e AS (SELECT *, kp - rp * kp AS a11, xu - su / n - rp * ku AS a12, qp - rp * q AS b1,
+             xp - sp / n - ru * kp AS a21, ku - ru * ku AS a22, qu - ru * q AS b2 FROM f),
+v AS (SELECT *, (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a21) AS vp,
+             (a11 * b2 - a21 * b1) / (a11 * a22 - a12 * a21) AS vu FROM e),
+w AS (SELECT *, greatest(vp, 0) AS p0, greatest(vu, 0) AS u0, greatest((q - vp * kp - vu * ku) / (n - 1), 0) AS r0 FROM v)
+SELECT n AS n_rows, (SELECT count(*) FROM cell) AS n_cells, dp + 1 AS n_first, du + 1 AS n_second,
+       round(p0, 6) AS var_first, round(u0, 6) AS var_second, round(r0, 6) AS var_rest,
+       round(p0 / (p0 + u0 + r0), 6) AS share_first, round(u0 / (p0 + u0 + r0), 6) AS share_second
+FROM w""")
+def crossed_components(spark, folder):
+    out = M.crossed_components(base(spark, folder), "provider_id", "unit", "died")
+    return rounded(out, "var_first", "var_second", "var_rest", "share_first", "share_second")
+
+
 @query()
 def shrunken_means(spark, folder):
     fit_rows = base(spark, folder)

@@ -259,3 +259,48 @@ def test_permutation_importance(spark, both):
         df, ["a", "b"], lambda v: v["a"] + v["b"] * 0.0, "y", ["id"]).collect()}
     assert out["b"].auc_loss == pytest.approx(0)
     assert out["a"].auc_loss == pytest.approx(0.5, abs=0.1)
+
+
+def crossed_rows(rng, levels, cells, spread, lumped=True):
+    """Rows over a sparse, uneven table of two factors with planted standard deviations; ``lumped`` puts
+    half of the cells on one level of the second, whose single effect then decides the moments."""
+    a, b = (rng.normal(0, sd, n) for sd, n in zip(spread, levels))
+    i, j = rng.integers(0, levels[0], cells), rng.integers(0, levels[1], cells)
+    if lumped:
+        j *= rng.integers(0, 2, cells)
+    n = rng.integers(1, 5, cells)
+    i, j = np.repeat(i, n), np.repeat(j, n)
+    return i, j, 3 + a[i] + b[j] + rng.normal(0, spread[2], len(i))
+
+
+def test_crossed_components_equal_the_traces_of_their_quadratic_forms(spark):
+    i, j, y = crossed_rows(np.random.default_rng(4), (6, 5), 14, (1.0, 2.0, 0.5))
+    z = [(i[:, None] == np.unique(i)).astype(float), (j[:, None] == np.unique(j)).astype(float)]
+    n = len(y)
+    centre = np.full((n, n), 1 / n)
+    forms = [f @ np.linalg.inv(f.T @ f) @ f.T - centre for f in z] + [np.eye(n) - centre]
+    parts = [z[0] @ z[0].T, z[1] @ z[1].T, np.eye(n)]
+    want = np.linalg.solve([[np.trace(q @ v) for v in parts] for q in forms], [y @ q @ y for q in forms])
+    r = M.crossed_components(frame(spark, i=i, j=j, y=y), "i", "j", "y").first()
+    assert (r.n_rows, r.n_first, r.n_second) == (n, z[0].shape[1], z[1].shape[1])
+    assert r.n_cells == len({*zip(i, j)})
+    assert [r.var_first, r.var_second, r.var_rest] == pytest.approx(np.maximum(want, 0).tolist(), rel=1e-9, abs=1e-12)
+    assert r.share_first == pytest.approx(r.var_first / (r.var_first + r.var_second + r.var_rest))
+
+
+def test_crossed_components_recover_planted_variances(spark):
+    i, j, y = crossed_rows(np.random.default_rng(5), (400, 300), 30_000, (1.0, 0.5, 2.0), lumped=False)
+    r = M.crossed_components(frame(spark, i=i, j=j, y=y), "i", "j", "y").first()
+    assert r.var_first == pytest.approx(1.0, rel=0.2)
+    assert r.var_second == pytest.approx(0.25, rel=0.3)
+    assert r.var_rest == pytest.approx(4.0, rel=0.05)
+
+
+def test_crossed_components_of_odd_tables(spark):
+    schema = "i string, j string, y double"
+    rows = [("p", "u", 1.0), ("p", "v", 2.0), (None, "u", 4.0), (None, "v", 3.5), ("q", None, 2.0), ("q", "u", None)]
+    r = M.crossed_components(spark.createDataFrame(rows, schema), "i", "j", "y").first()
+    assert (r.n_rows, r.n_cells, r.n_first, r.n_second) == (5, 5, 3, 3)
+    for few in (rows[:2], rows[:1], [("p", "u", 1.0), ("q", "v", 2.0), ("p", "u", 1.5), ("q", "v", 2.5)], []):
+        r = M.crossed_components(spark.createDataFrame(few, schema), "i", "j", "y").first()
+        assert r.var_first is None and r.share_first is None and r.n_rows in (len(few), None)
