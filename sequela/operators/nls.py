@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sequela.functions.exprs import case
 from sequela.functions.tails import t_two_sided
 
+START = (0.4, 50.0)
 STEPS = [2.0**-i for i in range(11)]
 
 NLS_SCHEMA = (
@@ -33,7 +35,7 @@ def fit_saturating(
     y: str,
     weight: str,
     by: str | None = None,
-    start: tuple[float, float] = (0.4, 50.0),
+    start: tuple[float, float] = START,
     max_iter: int = 100,
     tol: float = 1e-5,
     min_n: int = 10,
@@ -45,18 +47,28 @@ def fit_saturating(
     parameters, and the residual sums at all step lengths. Only sums per group come back. With
     ``by``, groups with fewer than ``min_n`` rows or a narrower range of ``x`` are left out.
     """
-    spark = rows.sparkSession
     group = F.col(by).cast("string") if by else F.lit("all")
     data = rows.select(
         group.alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
         F.col(weight).cast("double").alias("w"),
     ).dropna().persist()
+    try:
+        return _fitted(data, start, max_iter, tol, (min_n, min_range) if by else None)
+    finally:
+        data.unpersist()
+
+
+def _fitted(
+    data: DataFrame, start: tuple[float, float], max_iter: int, tol: float, least: tuple[int, float] | None
+) -> DataFrame:
+    """The fits of all groups ``g`` of ``x, y, w``; ``least`` is the smallest size and range of a group."""
+    spark = data.sparkSession
     sizes = data.groupBy("g").agg(
         F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("range"),
         F.sum(F.log("w")).alias("log_w"),
     ).collect()
-    if by:
-        sizes = [s for s in sizes if s.n >= min_n and s["range"] > min_range]
+    if least:
+        sizes = [s for s in sizes if s.n >= least[0] and s["range"] > least[1]]
     info = {s.g: s for s in sizes}
     params = {g: start for g in info}
     open_groups, done, failed = set(info), {}, set()
@@ -128,7 +140,6 @@ def fit_saturating(
                 failed.add(t.g)
                 open_groups.discard(t.g)
     failed |= open_groups
-    data.unpersist()
 
     out = []
     for g, s in info.items():
@@ -147,3 +158,70 @@ def fit_saturating(
                                           + math.log(sums.rss)))
         out.append((g, s.n, *cells, sums.rss, -2 * log_lik + 6, True))
     return spark.createDataFrame(out, NLS_SCHEMA)
+
+
+RESAMPLED_SCHEMA = (
+    "n_replicates long, n_converged long, m double, m_lo double, m_hi double, k double, k_lo double, k_hi double"
+)
+
+
+def poisson_weight(key: list[str], replicate: str, seed: int) -> Column:
+    """How often a row enters a replicate: a Poisson(1) count drawn from a hash of key, replicate and seed."""
+    draw = F.shiftrightunsigned(F.xxhash64(*key, F.col(replicate), F.lit(seed)), 11) / F.lit(float(2**53))
+    upto, p, steps = 0.0, math.exp(-1), []
+    for count in range(19):  # the tail beyond is below the step of the draw
+        upto += p
+        steps.append((draw < upto, F.lit(count)))
+        p /= count + 1
+    return case(steps, F.lit(19))
+
+
+def resampled_saturating(
+    rows: DataFrame,
+    x: str,
+    y: str,
+    weight: str,
+    key: list[str],
+    replicates: int = 200,
+    level: float = 0.95,
+    seed: int = 11,
+    max_iter: int = 100,
+    tol: float = 1e-5,
+) -> DataFrame:
+    """Percentile intervals of both parameters over a Poisson bootstrap; one row.
+
+    Every replicate weighs each row by a count of its own, drawn from a hash of the row's ``key``, so reruns
+    and other partitionings agree; rows that share a key are drawn together. All replicates are
+    fitted at once: a round makes the normal equations of every open replicate in one aggregate. Rows
+    are held once and repeated for the replicates on the way into the aggregate. Replicates that
+    do not converge are counted and left out; without a fit of the whole rows, all values are null.
+    """
+    if replicates < 1:
+        raise ValueError("replicates must be at least 1")
+    spark = rows.sparkSession
+    data = rows.select(
+        *[F.col(c).alias(f"_key{i}") for i, c in enumerate(key)],
+        F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(weight).cast("double").alias("w"),
+    ).dropna(subset=["x", "y", "w"]).persist()
+    keys = [f"_key{i}" for i in range(len(key))]
+    try:
+        whole = _fitted(data.withColumn("g", F.lit("all")), START, max_iter, tol, None).first()
+        if whole is None or not whole.converged:
+            return spark.createDataFrame([(replicates, 0, *[None] * 6)], RESAMPLED_SCHEMA)
+        drawn = (
+            data.withColumn("_replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+            .withColumn("_times", poisson_weight(keys, "_replicate", seed))
+            .where(F.col("_times") > 0)
+            .select(F.col("_replicate").cast("string").alias("g"), "x", "y", (F.col("w") * F.col("_times")).alias("w"))
+        )
+        fits = _fitted(drawn, (whole.m, whole.k), max_iter, tol, None)
+        tails = F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))
+        return fits.where("converged").agg(
+            F.count(F.lit(1)).alias("n"), F.percentile("m", tails).alias("m"), F.percentile("k", tails).alias("k"),
+        ).select(
+            F.lit(replicates).cast("long").alias("n_replicates"), F.col("n").alias("n_converged"),
+            *[c for name, value in (("m", whole.m), ("k", whole.k))
+              for c in (F.lit(value).alias(name), F.col(name)[0].alias(f"{name}_lo"), F.col(name)[1].alias(f"{name}_hi"))],
+        )
+    finally:
+        data.unpersist()

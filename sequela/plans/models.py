@@ -228,6 +228,12 @@ def saturating_curve(spark, folder):
     return S.fit_saturating(rows, "provider_rate", "mortality_rate", "n_sample")
 
 
+@query()
+def saturating_curve_resampled(spark, folder):
+    rows = summary(spark, folder).where(F.col("provider_rate") > 0)
+    return S.resampled_saturating(rows, "provider_rate", "mortality_rate", "n_sample", ["provider_id"])
+
+
 @query()
 def saturating_curve_by_unit(spark, folder):
     rows = summary(spark, folder).where(F.col("provider_rate") > 0)

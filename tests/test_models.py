@@ -304,3 +304,50 @@ def test_crossed_components_of_odd_tables(spark):
     for few in (rows[:2], rows[:1], [("p", "u", 1.0), ("q", "v", 2.0), ("p", "u", 1.5), ("q", "v", 2.5)], []):
         r = M.crossed_components(spark.createDataFrame(few, schema), "i", "j", "y").first()
         assert r.var_first is None and r.share_first is None and r.n_rows in (len(few), None)
+
+
+def curve_rows(spark, rng, n, m=0.4, k=40.0, noise=0.02):
+    x = rng.uniform(0.005, 0.12, n)
+    y = m * (1 - np.exp(-k * x)) + rng.normal(0, noise, n)
+    return frame(spark, id=np.arange(n), x=x, y=y, w=rng.integers(20, 90, n)), x, y
+
+
+def test_resampled_draws_are_poisson_counts(spark):
+    rows = spark.range(200_000).withColumn("b", F.lit(3))
+    got = dict(rows.select(S.poisson_weight(["id"], "b", 1).alias("c")).groupBy("c").count().collect())
+    for count in range(5):
+        assert got[count] / 200_000 == pytest.approx(math.exp(-1) / math.factorial(count), abs=0.004)
+
+
+def test_resampled_fits_equal_fits_of_the_drawn_rows(spark):
+    df, x, y = curve_rows(spark, np.random.default_rng(12), 60)
+    r = S.resampled_saturating(df, "x", "y", "w", ["id"], replicates=4).first()
+    assert (r.n_replicates, r.n_converged) == (4, 4)
+    ms, ks = [], []
+    for b in range(4):
+        times = df.withColumn("b", F.lit(b)).withColumn("w", F.col("w") * S.poisson_weight(["id"], "b", 11)).where("w > 0")
+        alone = S.fit_saturating(times, "x", "y", "w").first()
+        ms.append(alone.m)
+        ks.append(alone.k)
+    for got, all_of in (((r.m_lo, r.m_hi), ms), ((r.k_lo, r.k_hi), ks)):
+        assert got == pytest.approx(np.quantile(all_of, [0.025, 0.975]).tolist(), rel=1e-3)  # both stop at the same tolerance
+
+
+def test_resampled_intervals_cover_and_repeat(spark):
+    rng = np.random.default_rng(13)
+    inside = 0
+    for _ in range(3):
+        df, _, _ = curve_rows(spark, rng, 150)
+        r = S.resampled_saturating(df, "x", "y", "w", ["id"], replicates=60).first()
+        assert r.m_lo < r.m < r.m_hi and r.k_lo < r.k < r.k_hi
+        inside += (r.m_lo <= 0.4 <= r.m_hi) + (r.k_lo <= 40 <= r.k_hi)
+    assert inside >= 4  # of 6
+    again = S.resampled_saturating(df.repartition(7), "x", "y", "w", ["id"], replicates=60).first()
+    assert list(r) == pytest.approx(list(again), rel=1e-9)
+
+
+def test_resampled_curve_without_shape_or_rows(spark):
+    flat = spark.createDataFrame([(i, 0.0, 1.0, 1.0) for i in range(20)], "id long, x double, y double, w double")
+    for df in (flat, flat.limit(0)):
+        r = S.resampled_saturating(df, "x", "y", "w", ["id"], replicates=5).first()
+        assert (r.n_replicates, r.n_converged, r.m, r.k_hi) == (5, 0, None, None)
