@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sequela.functions.exprs import case, join_groups, scalars
 from sequela.functions.tails import chi2_p, f_p
+from sequela.operators.joins import BROADCAST_ROWS
 from sequela.operators.ordered import ntile, quantiles
+from sequela.session import checkpointed
 
 
 def frequency(rows: DataFrame, column: str, top: int | None = None) -> DataFrame:
@@ -75,8 +77,11 @@ def box_stats(rows: DataFrame, by: list[str], column: str, log10: bool = False)
         *by, q1.alias("q25"), q2.alias("median"), q3.alias("q75"),
         (q1 - 1.5 * (q3 - q1)).alias("_lo"), (q3 + 1.5 * (q3 - q1)).alias("_hi"),
     )
-    # Equal values share a row before the fences are attached, and the groups are few.
-    values = rows.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    q = checkpointed(q)
+    if q.count() <= BROADCAST_ROWS:
+        values, q = rows.withColumn("_n", F.lit(1)), F.broadcast(q)
+    else:  # equal values share a row before the fences are attached
+        values = rows.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
     inside = F.col("_x").between(F.col("_lo"), F.col("_hi"))
     names = ["q25", "median", "q75"]
     return (
@@ -150,7 +155,7 @@ def quartiles_within(
     rows: DataFrame, group: str, rate: str, tiebreak: list[str], out: str = "quartile"
 ) -> DataFrame:
     """Equal-count quarters of the rate inside each group; ties are broken by ``tiebreak``."""
-    return ntile(rows, [group], [F.col(rate), *map(F.col, tiebreak)], 4, out)
+    return ntile(rows, [group], [F.col(rate), *map(F.col, tiebreak)], 4, out, rate)
 
 
 def provider_profile(
