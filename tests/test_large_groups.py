@@ -71,3 +71,29 @@ def test_box_stats_of_few_and_many_groups(frame, monkeypatch):
     want = sorted(map(str, D.box_stats(frame, ["k"], "v").collect()))
     monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
     assert sorted(map(str, D.box_stats(frame, ["k"], "v").collect())) == want
+
+
+@pytest.mark.parametrize("cells", [4, 50, 4096])
+def test_features_counted_together(monkeypatch, cells):
+    """Sums by node and bin from shared cells, over blocks taken as one, are those of every feature by itself."""
+    from sequela.operators import boosting as B
+
+    monkeypatch.setattr(B, "CELLS", cells)
+    rng = np.random.default_rng(1)
+    codes = np.concatenate([rng.integers(0, 5, (1, 400)), rng.integers(0, 3, (1, 400)), np.eye(4, 3, dtype=int)[rng.integers(0, 4, 400)].T, rng.integers(0, 2, (1, 400))]).astype(np.uint8)
+    blocks = []
+    for a, b in ((0, 150), (150, 400)):
+        block = B._Block.__new__(B._Block)
+        block.group, block.n, block.rows, block.fold = 0, b - a, np.arange(a, b), np.zeros(b - a, np.int16)
+        block.codes, block.targets, block.scores = codes[:, a:b], np.zeros((1, b - a)), np.zeros((1, b - a))
+        blocks.append(block)
+    place = np.array([0, 5, 8, 10, 12, 14, 16])
+    work = B._Work(B._Block.joined(blocks), place, 2, [(2, 5)])
+    node, weight = rng.integers(0, 3, 400), rng.normal(size=400)
+    got = work.histogram(work.counted(node, 3, [weight], work.cells), 3)
+    for f in range(6):
+        for n in range(3):
+            for v in range(int(place[f + 1] - place[f])):
+                here = (node == n) & (codes[f] == v)
+                assert got[0, n, place[f] + v] == here.sum() and got[1, n, place[f] + v] == pytest.approx(weight[here].sum(), abs=1e-12)
+    assert all(np.prod(widths) <= cells or len(widths) == 1 for widths, _ in work.groups)
