@@ -97,3 +97,16 @@ def test_features_counted_together(monkeypatch, cells):
                 here = (node == n) & (codes[f] == v)
                 assert got[0, n, place[f] + v] == here.sum() and got[1, n, place[f] + v] == pytest.approx(weight[here].sum(), abs=1e-12)
     assert all(np.prod(widths) <= cells or len(widths) == 1 for widths, _ in work.groups)
+
+
+def test_permuted_pairs_are_made_once(spark, monkeypatch):
+    """The random partners are written once and read by every later step."""
+    from sequela.operators import predict as R
+
+    made = []
+    real = R.staged
+    monkeypatch.setattr(R, "staged", lambda df, name: made.append(name) or real(df, name))
+    rows = spark.createDataFrame([(i, float(i % 13), float(i % 5), int(i % 13 > 6)) for i in range(300)], "id int, a double, b double, y int")
+    got = {r.feature: r for r in R.permutation_importance(rows, ["a", "b"], lambda v: v["a"] + 0 * v["b"], "y", ["id"]).collect()}
+    assert made == ["permuted", "permuted-areas"]
+    assert got["a"].auc_loss > 0.2 and got["b"].auc == pytest.approx(1.0)
