@@ -39,7 +39,8 @@ BLOCK = 4096
 
 DENSE = 512
 """Members of a signature from which their sets go along, so that only links that join components
-come out of the group and not all of its close pairs."""
+come out of the group and not all of its close pairs. Sets are fetched only for members that the sketches
+leave in some pair."""
 
 PAIRS = 1 << 16
 """Pairs of members that a task looks at in one go (of one member at least, with all others of its group) ..."""
@@ -255,6 +256,7 @@ def _sketch_rows(how: Similarity, seed: int):
 
 
 SKETCH = "node long, odd long, band long, n long, sketch binary"
+PAIR_ROWS = "a long, b long, sure boolean"
 
 
 def may_be_similar(n: np.ndarray, sketch: np.ndarray, i: int, others: np.ndarray, how: Similarity) -> np.ndarray:
@@ -279,7 +281,15 @@ def _close_pairs(how: Similarity, turn: int | None = None):
     whose sketches do not rule them out. Where the sets are there, pairs are verified at once and a
     pair that earlier links of the group have joined is skipped. With ``turn`` no pair is named that those
     named before would join if they were links: a forest. Holds a batch and one group, of two blocks at most."""
+    return _by_groups(lambda rows: _named_pairs(rows, how, turn))
 
+
+def _close_members(how: Similarity):
+    """Of the same rows those whose member is in a pair that :func:`_close_pairs` would name, each once."""
+    return _by_groups(lambda rows: _members_met(rows, how))
+
+
+def _by_groups(step):
     def run(batches):
         held = None
         for batch in batches:
@@ -288,10 +298,10 @@ def _close_pairs(how: Similarity, turn: int | None = None):
                 continue
             last = _group_starts(rows[0])[-1]
             if last:
-                yield from _named_pairs(rows[0].slice(0, last), how, turn)
+                yield from step(rows[0].slice(0, last))
             held = rows[0].slice(last)
         if held is not None:
-            yield from _named_pairs(held, how, turn)
+            yield from step(held)
     return run
 
 
@@ -301,20 +311,13 @@ def _group_starts(rows: pa.RecordBatch) -> np.ndarray:
     return np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (band[1:] != band[:-1])))
 
 
-def _named_pairs(rows: pa.RecordBatch, how: Similarity, turn: int | None) -> Iterator[pa.RecordBatch]:
-    """The pairs of whole groups, see :func:`_close_pairs`."""
-    starts = _group_starts(rows)
-    sizes = np.diff(np.append(starts, rows.num_rows))
-    if turn is not None:
-        place = mix(rows.column(2).to_numpy().view(np.uint64), 31 + turn)
-        rows = rows.take(pa.array(np.lexsort((place, np.repeat(np.arange(len(sizes)), sizes)))))
-    node, root, n, side = (rows.column(k).to_numpy() for k in (2, 3, 4, 5))
-    root = root.copy()
-    first, end = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
-    sketch, items = rows.column(6), rows.column(7)
+def _may_link(rows: pa.RecordBatch, starts: np.ndarray, sizes: np.ndarray, root: np.ndarray, how: Similarity) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of the pairs of whole groups in different components (as ``root`` is by then) that sizes and
+    sketches do not rule out, some members at a time."""
+    n, side = (rows.column(k).to_numpy() for k in (4, 5))
+    end, sketch = np.repeat(starts + sizes, sizes), rows.column(6)
     offsets = np.frombuffer(sketch.buffers()[1], np.int32)[sketch.offset:sketch.offset + rows.num_rows + 1]
     data = np.frombuffer(sketch.buffers()[2], np.uint8)
-    has_sets = items.is_valid().to_numpy(zero_copy_only=False)
 
     after = end - 1 - np.arange(rows.num_rows)  # members that a row meets: those after it in its group
     total = np.append(0, np.cumsum(after))
@@ -329,7 +332,33 @@ def _named_pairs(rows: pa.RecordBatch, how: Similarity, turn: int | None) -> Ite
         good = (root[i] != root[j]) & ((side[i] == 2) | (side[i] != side[j])) & (how.den * small >= how.num * large)
         i, j = i[good], j[good]
         good = _sketches_agree(data, offsets, n, i, j, how)
-        i, j = i[good], j[good]
+        yield i[good], j[good]
+
+
+def _members_met(rows: pa.RecordBatch, how: Similarity) -> Iterator[pa.RecordBatch]:
+    """The rows of whole groups that are in a pair, see :func:`_close_members`."""
+    starts = _group_starts(rows)
+    met = np.zeros(rows.num_rows, bool)
+    for i, j in _may_link(rows, starts, np.diff(np.append(starts, rows.num_rows)), rows.column(3).to_numpy(), how):
+        met[i] = met[j] = True
+    if met.any():
+        yield rows.filter(pa.array(met))
+
+
+def _named_pairs(rows: pa.RecordBatch, how: Similarity, turn: int | None) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole groups, see :func:`_close_pairs`."""
+    starts = _group_starts(rows)
+    sizes = np.diff(np.append(starts, rows.num_rows))
+    if turn is not None:
+        place = mix(rows.column(2).to_numpy().view(np.uint64), 31 + turn)
+        rows = rows.take(pa.array(np.lexsort((place, np.repeat(np.arange(len(sizes)), sizes)))))
+    node, root = (rows.column(k).to_numpy() for k in (2, 3))
+    root = root.copy()
+    first, end = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+    items = rows.column(7)
+    has_sets = items.is_valid().to_numpy(zero_copy_only=False)
+
+    for i, j in _may_link(rows, starts, sizes, root, how):
         one_by_one = has_sets[i] if turn is None else np.ones(len(i), bool)
         a, b, sure = [node[i[~one_by_one]]], [node[j[~one_by_one]]], [np.zeros(int((~one_by_one).sum()), bool)]
         i, j = i[one_by_one], j[one_by_one]
@@ -493,27 +522,29 @@ def _grouped(docs: DataFrame, how: Similarity) -> DataFrame:
     for turn in range(CONTRACTIONS):
         open_ = _open(members, roots)
         named_pairs = (_met(open_).join(sketched, ["node", "odd"]).select(*row, F.lit(None).cast("binary").alias("items"))
-                       .repartition("key").sortWithinPartitions("key", "band").mapInArrow(_close_pairs(how, turn), "a long, b long, sure boolean"))
+                       .repartition("key").sortWithinPartitions("key", "band").mapInArrow(_close_pairs(how, turn), PAIR_ROWS))
         forest = staged(named_pairs.select("a", "b").distinct(), "forest")
         more = linked(docs, forest, reps, how, seed)
         before, links = (links, roots), staged(links.union(more), "links")
         roots = staged(components(links, "a", "b"), "roots")
         release(open_, forest, more, *before)
     open_ = _open(members, roots)
-    rows = _met(open_).join(sketched, ["node", "odd"])
-    sets = sets_for(docs, open_.where(F.col("size") > DENSE).select("node"), reps, how, seed)
-    rows = (rows.where(F.col("size") <= DENSE).select(*row, F.lit(None).cast("binary").alias("items"))
-            .union(rows.where(F.col("size") > DENSE).join(sets, "node").select(*row, "items")))
-    rows = rows.repartition("key").sortWithinPartitions("key", "band")
-    close = staged(rows.mapInArrow(_close_pairs(how), "a long, b long, sure boolean").distinct(), "close")
-    more = close.where("sure").select("a", "b").union(linked(docs, staged(close.where("NOT sure").select("a", "b"), "close"), reps, how, seed))
+    rows = _met(open_).join(sketched, ["node", "odd"]).select(*row, F.lit(None).cast("binary").alias("items"), "size")
+    few = rows.where(F.col("size") <= DENSE).drop("size").repartition("key").sortWithinPartitions("key", "band")
+    few = staged(few.mapInArrow(_close_pairs(how), PAIR_ROWS).distinct(), "close")
+    many = rows.where(F.col("size") > DENSE).drop("size").repartition("key").sortWithinPartitions("key", "band")
+    many = staged(many.mapInArrow(_close_members(how), many.schema), "dense")
+    sets = sets_for(docs, many.select("node"), reps, how, seed)
+    met = many.drop("items").join(sets, "node").select(*row, "items").repartition("key").sortWithinPartitions("key", "band")
+    sure = staged(met.mapInArrow(_close_pairs(how), PAIR_ROWS).distinct(), "close")
+    more = sure.select("a", "b").union(linked(docs, few, reps, how, seed))
     roots = staged(components(links.union(more), "a", "b"), "roots")
 
     by_node = nodes.join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), "rep")
     smallest = by_node.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = by_node.join(smallest, "root").select("node", "root", "component_id")
-    release(members, open_, reps, sketched, sets, star)
+    release(members, open_, reps, sketched, few, many, sets, sure, star)
     alone = unnamed.mapInArrow(_digest_rows(how, seed), DIGESTS).select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "told", F.lit(None).cast("long").alias("root"))
     return named.join(classes, "node", "left").select(

@@ -8,7 +8,7 @@ import pytest
 
 from sequela.llm import ngramjoin
 from sequela.llm.common import mix
-from sequela.llm.ngramjoin import Similarity, _close_pairs, may_be_similar, similar
+from sequela.llm.ngramjoin import Similarity, _close_members, _close_pairs, may_be_similar, similar
 from tests.llm.test_whole_queries import brute_groups
 
 
@@ -142,3 +142,24 @@ def test_pairs_of_groups(monkeypatch, pairs, sets):
                 assert set(alone) <= may and _parts(members, alone) == _parts(members, may)
                 assert len(alone) == len({r[3] for r in members}) - len(_parts(members, alone))
             assert named == len(got)
+
+
+@pytest.mark.parametrize("pairs", [1, 50, 1 << 16])
+def test_members_that_need_their_sets(monkeypatch, pairs):
+    """Only members that sketches leave in a pair go on, and their sets give the same components."""
+    monkeypatch.setattr(ngramjoin, "PAIRS", pairs)
+    rng, how = random.Random(7), Similarity()
+    dropped = 0
+    for _ in range(12):
+        rows = _rows(rng, 6, True)
+        cuts = [rng.randrange(len(rows) + 1) for _ in range(rng.randrange(5))]
+        kept = [tuple(r.values()) for out in _close_members(how)(_batches(rows, cuts)) for r in out.to_pylist()]
+        wanted = {r for v in _allowed(rows, how).values() for pair in v for r in pair}
+        assert len(kept) == len(wanted) and set(kept) == wanted
+        dropped += len(rows) - len(kept)
+        for key in {r[:2] for r in rows}:
+            members = [r for r in rows if r[:2] == key]
+            found = [[tuple(r.values())[:2] for out in _close_pairs(how)(_batches([m for m in part if m[:2] == key], [])) for r in out.to_pylist()]
+                     for part in (members, kept)]
+            assert _parts(members, found[0]) == _parts(members, found[1])
+    assert dropped
