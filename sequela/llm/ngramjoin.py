@@ -45,9 +45,15 @@ leave in some pair."""
 PAIRS = 1 << 16
 """Pairs of members that a task looks at in one go (of one member at least, with all others of its group) ..."""
 
-SKETCH_BYTES = 1 << 22
+SKETCH_BYTES = 1 << 20
 """... and bytes of their sketches."""
 
+TEXT_BYTES = 1 << 20
+"""Bytes of texts that a task turns into sets in one go; the arrays made on the way take some 60 times that."""
+
+BATCH = 2000
+"""Texts or sets that a task is handed at once."""
+
 CONTRACTIONS = 2
 """Rounds in which every signature names no more pairs than its members less one, before the pairs that are
 still open are named."""
@@ -80,7 +86,7 @@ class Similarity:
 def sets_of(column: pa.Array, how: Similarity, seed: int) -> Iterator[tuple]:
     """Per run of texts: first text, sorted hashes, sizes, digest of each set as two 64-bit values."""
     data, offsets = text_bytes(column)
-    for first, end in slices(offsets):
+    for first, end in slices(offsets, TEXT_BYTES):
         part = offsets[first:end + 1]
         words, counts = word_hashes(data[part[0]:part[-1]], part - part[0])
         hashes, sizes = shingles(words, counts, how.k)
@@ -274,6 +280,7 @@ def _least() -> np.ndarray:
 
 
 LEAST = _least()
+LOWEST = np.uint64(0x1111111111111111)
 
 
 def _close_pairs(how: Similarity, turn: int | None = None):
@@ -317,7 +324,8 @@ def _may_link(rows: pa.RecordBatch, starts: np.ndarray, sizes: np.ndarray, root:
     n, side = (rows.column(k).to_numpy() for k in (4, 5))
     end, sketch = np.repeat(starts + sizes, sizes), rows.column(6)
     offsets = np.frombuffer(sketch.buffers()[1], np.int32)[sketch.offset:sketch.offset + rows.num_rows + 1]
-    data = np.frombuffer(sketch.buffers()[2], np.uint8)
+    length = np.diff(offsets)
+    tables, place = _sketch_tables(np.frombuffer(sketch.buffers()[2], np.uint8), offsets)
 
     after = end - 1 - np.arange(rows.num_rows)  # members that a row meets: those after it in its group
     total = np.append(0, np.cumsum(after))
@@ -331,7 +339,7 @@ def _may_link(rows: pa.RecordBatch, starts: np.ndarray, sizes: np.ndarray, root:
         small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
         good = (root[i] != root[j]) & ((side[i] == 2) | (side[i] != side[j])) & (how.den * small >= how.num * large)
         i, j = i[good], j[good]
-        good = _sketches_agree(data, offsets, n, i, j, how)
+        good = _sketches_agree(tables, place, length, n, i, j, how)
         yield i[good], j[good]
 
 
@@ -381,19 +389,37 @@ def _named_pairs(rows: pa.RecordBatch, how: Similarity, turn: int | None) -> Ite
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure)], ["a", "b", "sure"])
 
 
-def _sketches_agree(data: np.ndarray, offsets: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, how: Similarity) -> np.ndarray:
-    """Which of the pairs (i, j), rows of the same bands, :func:`may_be_similar` would let pass."""
+def _sketch_tables(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """The sketches of each length as rows of 64-bit words, filled up with zeros, and the place of each sketch among those of its length."""
+    length = np.diff(offsets)
+    place, tables = np.zeros(len(length), np.int64), {}
+    for size in np.unique(length).tolist():
+        of = np.flatnonzero(length == size)
+        place[of] = np.arange(len(of))
+        rows = np.zeros((len(of), -(-size // 8) * 8), np.uint8)
+        step = max(1, SKETCH_BYTES // max(size, 1))
+        for k in range(0, len(of), step):
+            rows[k:k + step, :size] = data[offsets[of[k:k + step]][:, None] + np.arange(size)]
+        tables[size] = rows.view(np.uint64)
+    return tables, place
+
+
+def _sketches_agree(tables: dict[int, np.ndarray], place: np.ndarray, length: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, how: Similarity) -> np.ndarray:
+    """Which of the pairs (i, j), rows of the same bands, :func:`may_be_similar` would let pass. Of half a byte that
+    differs one element does where the lowest bit differs, and two where others do only."""
     differ = (n[i] + n[j]) * (how.den - how.num) // (how.den + how.num)
     good = np.zeros(len(i), bool)
-    length = offsets[i + 1] - offsets[i]
-    for size in np.unique(length):
-        of = np.flatnonzero(length == size)
-        places = np.arange(size)
-        step = max(1, SKETCH_BYTES // max(int(size), 1))
+    size_of = length[i]
+    for size in np.unique(size_of).tolist():
+        of, table = np.flatnonzero(size_of == size), tables[size]
+        step = max(1, SKETCH_BYTES // max(table.shape[1] * 8, 1))
         for k in range(0, len(of), step):
             part = of[k:k + step]
-            x, y = (data[offsets[r[part]][:, None] + places] for r in (i, j))
-            good[part] = LEAST[x ^ y].sum(1, dtype=np.int64) <= differ[part]
+            x = table[place[i[part]]] ^ table[place[j[part]]]
+            one = np.bitwise_count(x & LOWEST).sum(1, dtype=np.int64)
+            x |= x >> np.uint64(1)
+            x |= x >> np.uint64(2)
+            good[part] = 2 * np.bitwise_count(x & LOWEST).sum(1, dtype=np.int64) - one <= differ[part]
     return good
 
 
@@ -429,7 +455,7 @@ def sets_for(docs: DataFrame, nodes: DataFrame, reps: DataFrame, how: Similarity
     """``node, items`` of the given nodes, from one document each."""
     wanted = staged(reps.join(nodes.distinct(), "node").select(F.col("rep").alias("doc_id")), "reps")
     sets = staged(semi(docs, wanted, "doc_id").mapInArrow(_set_rows(how, seed), "node long, items binary")
-                  .dropDuplicates(["node"]), "sets")
+                  .dropDuplicates(["node"]), "sets", BATCH)
     release(wanted)
     return sets
 
@@ -440,7 +466,7 @@ def linked(docs: DataFrame, pairs: DataFrame, reps: DataFrame, how: Similarity,
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    good = staged(rows.mapInArrow(_verified(how), "a long, b long"), "similar")
+    good = staged(rows.mapInArrow(_verified(how), "a long, b long"), "similar", BATCH)
     release(sets)
     return good
 
@@ -491,7 +517,7 @@ def _grouped(docs: DataFrame, how: Similarity) -> DataFrame:
     unnamed, read = read.where("doc_id IS NULL"), read.where("doc_id IS NOT NULL")
     docs = read.select("doc_id", "text")
     for seed in range(100):  # a 64-bit name that two different sets share is found and another taken
-        named = staged(read.mapInArrow(_digest_rows(how, seed), DIGESTS), "digests")
+        named = staged(read.mapInArrow(_digest_rows(how, seed), DIGESTS), "digests", BATCH)
         nodes = staged(named.where("n_shingles > 0").groupBy("node").agg(
             F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"),
             F.min("check").alias("c0"), F.max("check").alias("c1")), "nodes")
@@ -505,7 +531,7 @@ def _grouped(docs: DataFrame, how: Similarity) -> DataFrame:
     wanted = members.select("node").distinct()
     reps = staged(nodes.join(wanted, "node").select("node", "rep"), "named")
     sketched = staged(semi(docs, staged(reps.select(F.col("rep").alias("doc_id")), "reps"), "doc_id")
-                      .mapInArrow(_sketch_rows(how, seed), SKETCH).dropDuplicates(["node", "odd"]), "sketches")
+                      .mapInArrow(_sketch_rows(how, seed), SKETCH).dropDuplicates(["node", "odd"]), "sketches", BATCH)
 
     # Each node against the centre it shares most signatures with ...
     odd = F.col("sig").bitwiseAND(F.lit(1)).alias("odd")
@@ -536,7 +562,7 @@ def _grouped(docs: DataFrame, how: Similarity) -> DataFrame:
     many = staged(many.mapInArrow(_close_members(how), many.schema), "dense")
     sets = sets_for(docs, many.select("node"), reps, how, seed)
     met = many.drop("items").join(sets, "node").select(*row, "items").repartition("key").sortWithinPartitions("key", "band")
-    sure = staged(met.mapInArrow(_close_pairs(how), PAIR_ROWS).distinct(), "close")
+    sure = staged(met.mapInArrow(_close_pairs(how), PAIR_ROWS).distinct(), "close", BATCH)
     more = sure.select("a", "b").union(linked(docs, few, reps, how, seed))
     roots = staged(components(links.union(more), "a", "b"), "roots")
 

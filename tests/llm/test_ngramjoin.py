@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from sequela.llm import ngramjoin
-from sequela.llm.common import mix
+from sequela.llm.common import mix, staged
 from sequela.llm.ngramjoin import Similarity, _close_members, _close_pairs, may_be_similar, similar
 from tests.llm.test_whole_queries import brute_groups
 
@@ -163,3 +163,38 @@ def test_members_that_need_their_sets(monkeypatch, pairs):
                      for part in (members, kept)]
             assert _parts(members, found[0]) == _parts(members, found[1])
     assert dropped
+
+
+def test_texts_become_sets_a_megabyte_at_a_time():
+    """The arrays made on the way take many times the texts' bytes, in each of an executor's Python workers."""
+    texts = [" ".join(f"w{i * j % 977}" for j in range(400)) for i in range(2000)]
+    runs = list(ngramjoin.sets_of(pa.array(texts), Similarity(), 0))
+    assert [r[0] for r in runs] == [0, *[r[1] for r in runs[:-1]]] and runs[-1][1] == len(texts)
+    assert max(sum(map(len, texts[first:end])) for first, end, *_ in runs) <= 1 << 20
+    whole = [s for r in runs for s in r[3].tolist()]
+    assert whole == [s for t in texts for r in ngramjoin.sets_of(pa.array([t]), Similarity(), 0) for s in r[3].tolist()]
+
+
+def test_staged_bounds_the_rows_of_a_python_step(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    found = [r.n for r in staged(spark.range(0, 5000, 1, 2).mapInArrow(sizes, "n long"), "sizes", 700).collect()]
+    assert sum(found) == 5000 and max(found) == 700 and spark.conf.get(setting) == before
+
+
+@pytest.mark.parametrize("size", [2, 7, 8, 85, 300])
+def test_sketches_by_words_tell_the_least_number_of_elements(size):
+    rng, how = np.random.default_rng(size), Similarity()
+    sketch = np.tile(rng.integers(0, 256, size, dtype=np.uint8), (40, 1))
+    for row in sketch:
+        some = rng.integers(0, size, rng.integers(0, size + 1))
+        row[some] = rng.integers(0, 256, len(some))
+    n = rng.integers(size, 9 * size, 40)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(40)))
+    tables, place = ngramjoin._sketch_tables(sketch.ravel(), np.arange(41) * size)
+    got = ngramjoin._sketches_agree(tables, place, np.full(40, size), n, i, j, how)
+    assert got.tolist() == [bool(may_be_similar(n, sketch, a, np.array([b]), how)[0]) for a, b in zip(i, j)]
