@@ -326,8 +326,9 @@ def feature_vectors(spark, folder):
     )
 
 
-def split(spark, folder):
-    rows = base(spark, folder, *IDS, *FEATURES.continuous, *FEATURES.categorical, "died")
+def split(spark, folder, *more):
+    """Study rows with identity, continuous features, outcome and the columns ``more``, and their split."""
+    rows = base(spark, folder, *IDS, *FEATURES.continuous, *more, "died")
     return N.stratified_split(rows, list(IDS), "died")
 
 
@@ -344,15 +345,13 @@ def ridge_logistic(spark, folder):
     train = rows.where(F.col("split") == "train")
     spec = N.FeatureSpec(FEATURES.continuous, FEATURES.log1p)
     model = N.fit_features(train, spec)
-    prepared = model.transform(train).select("features", "died").persist()
-    fit = R.ridge_logit(prepared, "died")
-    prepared.unpersist()
+    fit = R.ridge_logit(model.transform(train).select("features", "died"), "died")  # the fit caches its own blocks
     return R.coefficients(spark, fit, model.labels())
 
 
 def boosted_baseline(spark, folder):
     """Labels of the features, the boosted classifier of the outcome and the scored validation and test rows."""
-    rows = split(spark, folder)
+    rows = split(spark, folder, *FEATURES.categorical)
     features = N.fit_features(rows.where(F.col("split") == "train"), FEATURES, one_hot=False)
     prepared = features.transform(rows).select("features", "died", "split")
     model, scored = R.boosted(prepared, "died", {"val": 1, "test": 2}, "split")
@@ -376,7 +375,7 @@ def baseline_quality(spark, folder):
     rows = split(spark, folder)
     train = rows.where(F.col("split") == "train")
     model = N.fit_features(train, N.FeatureSpec(FEATURES.continuous, FEATURES.log1p))
-    prepared = model.transform(rows).select("features", "died", "split").persist()
+    prepared = model.transform(rows).select("features", "died", "split")
     fit = R.ridge_logit(prepared.where(F.col("split") == "train"), "died")
     scored = R.with_probability(fit, prepared.where(F.col("split") != "train"))
     return V.quality(scored, "score", "died", ["split"])

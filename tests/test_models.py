@@ -351,3 +351,32 @@ def test_resampled_curve_without_shape_or_rows(spark):
     for df in (flat, flat.limit(0)):
         r = S.resampled_saturating(df, "x", "y", "w", ["id"], replicates=5).first()
         assert (r.n_replicates, r.n_converged, r.m, r.k_hi) == (5, 0, None, None)
+
+
+def test_ridge_reads_no_categories_and_keeps_no_second_copy_of_its_features(spark, monkeypatch):
+    """The fit caches blocks of its own; a cached frame of vectors beside them is the same rows twice."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from sequela.plans import models, registry
+
+    rows = spark.range(400).selectExpr(
+        "id AS subject_id", "id % 7 AS provider_id", "id % 50 AS part_id", "20 + id % 60 AS age", "id % 90 + 0.5 AS hours", "id % 11 AS severity",
+        "id % 9 / 100 AS dose", "id % 13 / 13 AS rate", "id % 7 * 10 AS provider_n", "id % 5 AS n_failures", "int(id % 3 = 0) AS died")
+    asked, kept, persist = [], [], DataFrame.persist
+
+    def persisted(self, *level):
+        kept.append(self.columns)
+        return persist(self, *level)
+
+    def base(spark, folder, *columns):
+        asked.extend(columns)
+        return rows.select(*dict.fromkeys(columns))
+
+    monkeypatch.setattr(DataFrame, "persist", persisted)
+    monkeypatch.setattr(models, "base", base)
+    found = registry.QUERIES["ridge_logistic"](spark, "").collect()
+    assert len(found) == 8 and all(math.isfinite(r.estimate) for r in found)
+    assert not set(asked) & set(models.FEATURES.categorical)
+    assert not any("features" in columns for columns in kept)
+    quality = registry.QUERIES["baseline_quality"](spark, "").collect()
+    assert sorted(r["split"] for r in quality) == ["test", "val"] and not any("features" in columns for columns in kept)
