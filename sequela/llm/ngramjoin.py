@@ -48,11 +48,14 @@ PAIRS = 1 << 16
 SKETCH_BYTES = 1 << 20
 """... and bytes of their sketches."""
 
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 18
 """Bytes of texts that a task turns into sets in one go; the arrays made on the way take some 60 times that."""
 
 BATCH = 2000
-"""Texts or sets that a task is handed at once."""
+"""Texts or sets that a task is handed at once ..."""
+
+SHORT_ROWS = 10_000
+"""... and rows of signatures and sketches. Either way no more bytes than a stage bounds."""
 
 CONTRACTIONS = 2
 """Rounds in which every signature names no more pairs than its members less one, before the pairs that are
@@ -527,7 +530,7 @@ def _grouped(docs: DataFrame, how: Similarity) -> DataFrame:
 
     signed = docs.mapInArrow(_signature_rows(how, seed), "sig long, node long")
     members = staged(signed.repartition("sig").sortWithinPartitions("sig", "node")
-                     .mapInArrow(_shared_runs, "sig long, node long, first long"), "members")
+                     .mapInArrow(_shared_runs, "sig long, node long, first long"), "members", SHORT_ROWS)
     wanted = members.select("node").distinct()
     reps = staged(nodes.join(wanted, "node").select("node", "rep"), "named")
     sketched = staged(semi(docs, staged(reps.select(F.col("rep").alias("doc_id")), "reps"), "doc_id")
@@ -539,7 +542,7 @@ def _grouped(docs: DataFrame, how: Similarity) -> DataFrame:
     star = shared.groupBy("b").agg(F.max_by(F.struct("a", "odd"), F.struct("c", "a", "odd")).alias("to")).select("b", "to.*")
     x = sketched.select(F.col("node").alias("a"), "odd", "band", F.col("n").alias("na"), F.col("sketch").alias("x"))
     y = sketched.select(F.col("node").alias("b"), "odd", "band", F.col("n").alias("nb"), F.col("sketch").alias("y"))
-    star = staged(star.join(x, ["a", "odd"]).join(y, ["b", "odd", "band"]).mapInArrow(_close_stars(how), "a long, b long"), "stars")
+    star = staged(star.join(x, ["a", "odd"]).join(y, ["b", "odd", "band"]).mapInArrow(_close_stars(how), "a long, b long"), "stars", SHORT_ROWS)
     links = linked(docs, star, reps, how, seed)
     roots = staged(components(links, "a", "b"), "roots")
 
@@ -549,7 +552,7 @@ def _grouped(docs: DataFrame, how: Similarity) -> DataFrame:
         open_ = _open(members, roots)
         named_pairs = (_met(open_).join(sketched, ["node", "odd"]).select(*row, F.lit(None).cast("binary").alias("items"))
                        .repartition("key").sortWithinPartitions("key", "band").mapInArrow(_close_pairs(how, turn), PAIR_ROWS))
-        forest = staged(named_pairs.select("a", "b").distinct(), "forest")
+        forest = staged(named_pairs.select("a", "b").distinct(), "forest", SHORT_ROWS)
         more = linked(docs, forest, reps, how, seed)
         before, links = (links, roots), staged(links.union(more), "links")
         roots = staged(components(links, "a", "b"), "roots")
@@ -557,9 +560,9 @@ def _grouped(docs: DataFrame, how: Similarity) -> DataFrame:
     open_ = _open(members, roots)
     rows = _met(open_).join(sketched, ["node", "odd"]).select(*row, F.lit(None).cast("binary").alias("items"), "size")
     few = rows.where(F.col("size") <= DENSE).drop("size").repartition("key").sortWithinPartitions("key", "band")
-    few = staged(few.mapInArrow(_close_pairs(how), PAIR_ROWS).distinct(), "close")
+    few = staged(few.mapInArrow(_close_pairs(how), PAIR_ROWS).distinct(), "close", SHORT_ROWS)
     many = rows.where(F.col("size") > DENSE).drop("size").repartition("key").sortWithinPartitions("key", "band")
-    many = staged(many.mapInArrow(_close_members(how), many.schema), "dense")
+    many = staged(many.mapInArrow(_close_members(how), many.schema), "dense", SHORT_ROWS)
     sets = sets_for(docs, many.select("node"), reps, how, seed)
     met = many.drop("items").join(sets, "node").select(*row, "items").repartition("key").sortWithinPartitions("key", "band")
     sure = staged(met.mapInArrow(_close_pairs(how), PAIR_ROWS).distinct(), "close", BATCH)
@@ -583,7 +586,7 @@ def one_of_each(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     text). A doc_id that comes with different texts is a document for each text. All columns are kept, and so are
     rows without a doc_id and rows whose text has no words."""
     found = staged(_grouped(docs, how).where("doc_id IS NOT NULL AND root IS NOT NULL")
-                   .groupBy("root", "doc_id", "told").agg(F.count("*").alias("many")), "found")
+                   .groupBy("root", "doc_id", "told").agg(F.count("*").alias("many")), "found", BATCH)
     best = found.groupBy("root").agg(F.min(F.struct("doc_id", "told", "many")).alias("best")).select("best.*")
     best = staged(best, "best")
     key = ["doc_id", "told"]

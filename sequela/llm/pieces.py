@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sequela.llm.common import staged
+from sequela.llm.common import few_rows, staged
 
 GIANT = 65_536
 """Code points from which a text is encoded in chunks."""
@@ -351,7 +351,7 @@ def _traces(path: str, chunk: int):
 def _plain_rows(path: str):
     def run(batches):
         pieces = load(path)
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             first = 0
             while first < len(texts):  # a few MB of text at a time

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sequela.llm.common import few_rows
+
 SAMPLE = 20_000
 """Labelled rows the lexicon is learned from, at most."""
 
@@ -246,7 +248,7 @@ def _cover(docs: list[set], weight: dict, nt: int, nc: int) -> dict[str, float]:
 def _scored(lexicon: Lexicon, at: int):
     def run(batches):
         machine = lexicon.machine()
-        for batch in batches:
+        for batch in few_rows(batches):
             scores = [lexicon.score(lexicon.raw(folded(t), machine)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())],
                                              schema=batch.schema.append(pa.field("_score", pa.float64())))

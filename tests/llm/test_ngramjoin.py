@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sequela.llm import ngramjoin
+from sequela.llm import ngramjoin, pieces, secrets, toxicity
 from sequela.llm.common import mix, staged
 from sequela.llm.ngramjoin import Similarity, _close_members, _close_pairs, may_be_similar, similar
 from tests.llm.test_whole_queries import brute_groups
@@ -186,6 +186,51 @@ def test_staged_bounds_the_rows_of_a_python_step(spark):
     assert sum(found) == 5000 and max(found) == 700 and spark.conf.get(setting) == before
 
 
+def test_staged_bounds_the_bytes_of_a_python_step(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('x', 2000) AS text")
+    found = [r.n for r in staged(rows.mapInArrow(sizes, "n long"), "sizes", 2000).collect()]
+    assert sum(found) == 3000 and max(found) * 2000 <= 1 << 20 and spark.conf.get(setting) == before
+
+
+def test_every_python_step_of_the_join_is_bounded(spark, monkeypatch):
+    bounds = []
+
+    def seen(df, name, batch=None):
+        if "MapInArrow" in df._jdf.queryExecution().simpleString():
+            bounds.append((name, batch))
+        return staged(df, name, batch)
+
+    monkeypatch.setattr(ngramjoin, "staged", seen)
+    ngramjoin.one_of_each(spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g h")], "doc_id long, text string")).collect()
+    assert {name for name, _ in bounds} >= {"digests", "members", "sketches", "stars", "sets", "similar", "forest", "close", "dense"}
+    assert all(batch for _, batch in bounds)
+
+
+def test_sets_are_made_a_quarter_of_a_megabyte_at_a_time():
+    texts = [" ".join(f"w{i * j % 977}" for j in range(100)) for i in range(3000)]
+    runs = list(ngramjoin.sets_of(pa.array(texts), Similarity(), 0))
+    assert sum(r[1] - r[0] for r in runs) == len(texts)
+    assert max(sum(map(len, texts[first:end])) for first, end, *_ in runs) <= 1 << 18
+
+
+def test_steps_that_make_python_objects_take_few_rows():
+    texts = [f"text {i}" for i in range(1234)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1234), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    steps = [toxicity._scored(toxicity.Lexicon(), 1), secrets._masked(secrets.Formats(), 1, None), pieces._plain_rows(pieces.default_model())]
+    for step in steps:
+        out = list(step(iter([batch])))
+        assert max(b.num_rows for b in out) <= 500
+        assert [x for b in out for x in b.column(0).to_pylist()] == list(range(1234))
+    for step in steps[:2]:
+        assert [x for b in step(iter([batch])) for x in b.column(1).to_pylist()] == texts
+
+
 @pytest.mark.parametrize("size", [2, 7, 8, 85, 300])
 def test_sketches_by_words_tell_the_least_number_of_elements(size):
     rng, how = np.random.default_rng(size), Similarity()
