@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -109,3 +110,25 @@ def test_few_examples_score_but_add_no_span(spark):
     assert not formats.kinds and list(formats.few) == ["assign"]
     rows = {r.doc_id: r for r in secrets.scan(docs, formats).collect()}
     assert all(r.n_scored == 1 and r.least_score is not None and r.n_format == 0 for r in rows.values())
+
+
+def test_every_value_is_learned_from(spark):
+    """More values than were once sampled, long ones too: the automata are those of a plain version over all of them."""
+    rng = random.Random(12)
+    keyed = sorted({*hexes(rng, 2980, 9), *("".join(rng.choices("GH019", k=300)) for _ in range(20))})
+    keyed = keyed[len(keyed) % 5:]
+    other = sorted(set(ordinary(rng, 400)) | {f"chapter-{i}-" + "x" * 240 for i in range(30)})
+    texts = [f"password={v}" for v in keyed] + [f"see {v} there" for v in other]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:50])), "doc_id long, text string")
+    by_hash = lambda values: [r.v for r in spark.createDataFrame([(v,) for v in values], "v string").selectExpr("v", "xxhash64(v) AS h").orderBy("h").collect()]
+    found, plain = secrets.learn(docs), secrets.formats({"assign": by_hash(keyed)}, by_hash(other))
+    passed = {k: Counter(step for v in some for step in secrets._walked({s: {c: to for c, (to, _) in arcs.items()} for s, arcs in a.arcs.items()}, secrets.shape(v)))
+              for k, a, some in (("assign", found.kinds["assign"], by_hash(keyed)[:len(keyed) * 4 // 5]), ("plain", found.plain, other))}
+    assert list(found.kinds) == ["assign"] and len(keyed) > 2900
+    for kind, a, b in (("assign", found.kinds["assign"], plain.kinds["assign"]), ("plain", found.plain, plain.plain)):
+        assert a.arcs.keys() == b.arcs.keys()
+        for state, arcs in a.arcs.items():
+            size = sum(n for (s, _), n in passed[kind].items() if s == state)
+            assert {c: to for c, (to, _) in arcs.items()} == {c: to for c, (to, _) in b.arcs[state].items()}
+            assert all(p == pytest.approx(passed[kind][state, c] / size) for c, (_, p) in arcs.items())
+    assert found.least == pytest.approx(plain.least)
